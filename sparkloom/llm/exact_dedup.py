@@ -54,41 +54,45 @@ def winners(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """All rows of ``docs`` as the struct column ``doc``, with keep_id, group_size, kept and
-    text_sha256.
+def _members(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
+        F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("digest"),
+        F.monotonically_increasing_id().alias("tag"),
+    )
+
+
+def exact_duplicates(docs: DataFrame, keep: list[str] | None = None, salts: int = SALTS) -> DataFrame:
+    """All rows of ``docs``, their ``keep`` columns as the struct ``doc``, with keep_id, group_size,
+    kept and text_sha256.
 
     Of equal texts the row with the largest doc_id stays; a null doc_id counts as the smallest,
     and of several rows with that doc_id exactly one stays. Null and empty texts are one group.
     Works on empty tables; other columns, whatever their names, ride inside ``doc``.
     """
     found = winners(docs.select("doc_id", "text"), salts)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("digest"),
-    )
-    same = Window.partitionBy("digest", "id").orderBy("tag")
-    return (
-        rows.join(found, "digest")
-        .withColumn("tag", F.monotonically_increasing_id())
-        .withColumn("rank", F.row_number().over(same))
-        .select(
-            "doc", "keep_id", "group_size",
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == 1)).alias("kept"),
-            F.col("digest").alias("text_sha256"),
-        )
+    rank = F.row_number().over(Window.partitionBy("id", "digest").orderBy("tag"))
+    rows = _members(docs, keep or docs.columns).withColumn("rank", rank)
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == 1)
+    return rows.join(found, "digest").select(
+        "doc", "keep_id", "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    return exact_duplicates(docs, salts).where("kept").select("doc.*")
+    """The rows of ``docs`` that stay, with their columns; joined by digest and doc_id, so that the
+    copies of a text do not meet."""
+    found = winners(docs.select("doc_id", "text"), salts)
+    rows = _members(docs, docs.columns)
+    top = (rows["digest"] == found["digest"]) & rows["id"].eqNullSafe(found["keep_id"])
+    rank = F.row_number().over(Window.partitionBy("of", "id").orderBy("tag"))
+    stay = rows.join(found, top).select("doc", "id", "tag", found["digest"].alias("of"))
+    return stay.withColumn("rank", rank).where("rank = 1").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = exact_duplicates(docs.select("doc_id", "text"))
-    return found.select("doc.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_duplicates(docs, ["doc_id"]).select("doc.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """

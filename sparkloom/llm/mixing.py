@@ -134,7 +134,7 @@ def copies(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = M
             "bucket", F.pmod(F.col("bucket"), F.col("groups"))
         )
         level += 1
-    last = F.when(fraction(F.lit(seed), F.lit(-1), F.col("doc_id"), F.col("size")) < F.col("p"), 1).otherwise(0)
+    last = F.when(F.col("p") >= 0.5, 1).otherwise(0)  # the one document that nothing is left to pair with
     if widest:
         done.append(todo.select(*keys, "doc_id", "size", "m", (F.col("base") + last).alias("copies")))
     out = done[0]
