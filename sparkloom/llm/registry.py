@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkloom.llm import (
     exact_dedup,
+    jaccard_join,
     language_id,
     mixing,
     packing,
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.query,
     "op6_secret_scan": secret_scan.query,
     "op7_toxicity": toxicity.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
 }
 
