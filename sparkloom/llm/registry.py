@@ -11,6 +11,7 @@ from sparkloom.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    suffix_dedup,
     toxicity,
 )
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.query,
     "op7_toxicity": toxicity.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_language_id": language_id.query,
 }
 
