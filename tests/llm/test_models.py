@@ -68,6 +68,7 @@ def test_quality_classifier(spark, odd, labels, none):
 
 
 def test_toxicity(spark, odd, labels, none):
+    SF = "/root/testdata/sf0.1"  # at sf0.01 the held-out rows have six toxic ones
     rows = toxicity.query(spark, SF).collect()
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = [r for r in rows if r.held_out and r.doc_id in toxic]
