@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.components import components
 from sparkloom.llm.shared import ship, written
-from sparkloom.llm.textmap import WordTable, map_text, mixed, windows
+from sparkloom.llm.textmap import WordTable, map_text, mixed, sliced, windows
 
 WORDS, PERCENT = 5, 80
 #: Shingles in more nodes than these are of class 2 and of class 3.
@@ -153,12 +153,12 @@ def class_tables(texts: DataFrame, shingle_count: int) -> tuple[bytes, bytes]:
                 ["range", "hashes", "counts"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 x = shingles(text, table)
                 held.append(x[: np.searchsorted(x, np.uint64(COUNTED))])
                 size += len(held[-1])
-                if size > 3_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -253,7 +253,7 @@ def shared_entries(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
     def emit(batches):
         table = WordTable()
         frequent, very = (np.frombuffer(x, np.uint8) for x in sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [entries(shingles(t, table), frequent, very) for t in batch.column("text").to_pylist()]
             node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in found])
             entry = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
@@ -316,7 +316,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def hash_sets(batches):
         table = WordTable()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(t, table).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "set"])
 

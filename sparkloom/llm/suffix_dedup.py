@@ -75,7 +75,8 @@ def anchors(raw: bytes):
         left = np.where(place + back >= SIDE, sides[np.maximum(place + back - SIDE, 0)], 0)
         right_at = place + back + CORE
         right = np.where(right_at < len(sides), sides[np.minimum(right_at, len(sides) - 1)], 0)
-        out.append((place + begin, first + begin, last + begin, core[place], left.astype(np.uint8), right.astype(np.uint8)))
+        # the smallest of many hashes are small: hashed again, they spread evenly
+        out.append((place + begin, first + begin, last + begin, mixed(core[place]), left.astype(np.uint8), right.astype(np.uint8)))
     if not out:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint8, np.uint8))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
@@ -98,13 +99,15 @@ def _in_several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(texts: DataFrame, bits: int) -> DataFrame:
-    """(key, ids): the anchors of each text that may begin a repeated passage, by the first 32 + ``bits``
-    bits of their hashes. The first ``bits`` bits are the range in which hashes meet."""
+    """(mark, ids): the anchors of each text that may begin a repeated passage, by the first 32 + ``bits``
+    bits of their hashes. The first ``bits`` bits are the range in which hashes meet; ``mark`` is a
+    64-bit hash of the text's key, and texts that share one only get anchors too many."""
 
     def offer(batches):
-        keys, held, size = [], [], 0
+        marks, held, size = [], [], 0
 
         def flush():
+            own = np.array(marks, "<i8")
             doc = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in held])
             ids, left, right = (np.concatenate([x[k] for x in held]) for k in range(3))
             order = np.argsort(ids)
@@ -114,33 +117,32 @@ def repeated_anchors(texts: DataFrame, bits: int) -> DataFrame:
             for i, j in zip(at, end, strict=True):
                 used, back = np.unique(doc[i:j], return_inverse=True)
                 small = (ids[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                row = (int(ids[i] >> np.uint64(32)), small.tobytes(), back.astype("<u4").tobytes(), left[i:j].tobytes(), right[i:j].tobytes(), b"".join(keys[k] for k in used))
+                row = (int(ids[i] >> np.uint64(32)), small.tobytes(), back.astype("<u4").tobytes(), left[i:j].tobytes(), right[i:j].tobytes(), own[used].tobytes())
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
             types = [pa.int64(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "ids", "docs", "lefts", "rights", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "ids", "docs", "lefts", "rights", "marks"])
 
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            for mark, text in zip(batch.column("mark").to_pylist(), batch.column("text"), strict=True):
                 _, _, _, h, left, right = anchors(text.as_buffer().to_pybytes())
-                keys.append(key)
+                marks.append(mark)
                 held.append((h >> np.uint64(32 - bits), left, right))
                 size += len(h)
                 if size > HELD:
                     yield flush()
-                    keys, held, size = [], [], 0
+                    marks, held, size = [], [], 0
         if size:
             yield flush()
 
     def meet(key, rows):
-        ids, docs, lefts, rights, keys, base = [], [], [], [], [], 0
-        for row in zip(*(rows.column(c).to_pylist() for c in ("ids", "docs", "lefts", "rights", "keys")), strict=True):
-            ids.append(np.frombuffer(row[0], "<u4"))
-            docs.append(np.frombuffer(row[1], "<u4").astype(np.int64) + base)
-            lefts.append(np.frombuffer(row[2], np.uint8))
-            rights.append(np.frombuffer(row[3], np.uint8))
-            keys += [row[4][k : k + 32] for k in range(0, len(row[4]), 32)]
-            base = len(keys)
+        columns = (rows.column(c).to_pylist() for c in ("ids", "docs", "lefts", "rights", "marks"))
+        ids, docs, lefts, rights = [], [], [], []
+        for small, doc, left, right, marks in zip(*columns, strict=True):
+            ids.append(np.frombuffer(small, "<u4"))
+            docs.append(np.frombuffer(marks, "<i8")[np.frombuffer(doc, "<u4")])
+            lefts.append(np.frombuffer(left, np.uint8))
+            rights.append(np.frombuffer(right, np.uint8))
         ids, docs, lefts, rights = map(np.concatenate, (ids, docs, lefts, rights))
         some = _in_several(ids, docs)
         ids, docs, lefts, rights = ids[some].astype(np.int64), docs[some], lefts[some], rights[some]
@@ -151,17 +153,17 @@ def repeated_anchors(texts: DataFrame, bits: int) -> DataFrame:
         at, end = _cut(docs[order])
         return pa.table(
             {
-                "key": pa.array([keys[docs[order][i]] for i in at], pa.binary()),
+                "mark": pa.array(docs[order][at], pa.int64()),
                 "ids": pa.array([full[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary()),
             }
         )
 
     ship(texts.sparkSession)
-    offered = texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(
-        offer, "range long, ids binary, docs binary, lefts binary, rights binary, keys binary"
+    offered = texts.select(F.xxhash64("key").alias("mark"), F.col("text").cast("binary").alias("text")).mapInArrow(
+        offer, "range long, ids binary, docs binary, lefts binary, rights binary, marks binary"
     )
-    met = offered.groupBy("range").applyInArrow(meet, "key binary, ids binary")
-    return written(met.groupBy("key").agg(F.collect_list("ids").alias("ids")), "suffix-anchors")
+    met = offered.groupBy("range").applyInArrow(meet, "mark long, ids binary")
+    return written(met.groupBy("mark").agg(F.collect_list("ids").alias("ids")), "suffix-anchors")
 
 
 def front_coded(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -394,7 +396,8 @@ def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = min(24, max(6, math.ceil(math.log2(size / 17 / HELD + 1))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 17 // 300_000)
     wanted = repeated_anchors(texts, bits)
-    asked = texts.select("key", "doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "key")
+    asked = texts.select("key", "doc_id", F.col("text").cast("binary").alias("text"))
+    asked = asked.withColumn("mark", F.xxhash64("key")).join(wanted, "mark")
     return copied, merged_parts(sorted_runs(asked, bits, parts))
 
 

@@ -54,6 +54,13 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def sliced(batches, rows: int = 1000):
+    """The batches in parts of at most ``rows`` rows: what a step holds at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_text(docs: DataFrame, keep: list[str], fields: list[T.StructField], factory: Callable) -> DataFrame:
     """``docs`` with the ``keep`` columns as the struct ``doc`` and ``fields`` computed from text.
 
@@ -66,7 +73,7 @@ def map_text(docs: DataFrame, keep: list[str], fields: list[T.StructField], fact
 
     def run(batches):
         compute = factory()
-        for batch in batches:
+        for batch in sliced(batches):
             columns = compute(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)],
