@@ -1,11 +1,7 @@
-"""The relational queries and their oracle SQL, by name."""
+"""The library's queries and their oracle SQL, by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from sparkloom.sources.tables import table
-
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -22,16 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "revenue_per_customer",
-    """SELECT c_custkey, c_name, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS revenue_cents
-       FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F'
-       GROUP BY c_custkey, c_name ORDER BY revenue_cents DESC, c_custkey LIMIT 100""",
-)
-def revenue_per_customer(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    spent = orders.groupBy("o_custkey").agg(F.sum(cents).alias("revenue_cents"))
-    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    joined = spent.join(names, spent["o_custkey"] == names["c_custkey"])
-    return joined.select("c_custkey", "c_name", "revenue_cents").orderBy(F.desc("revenue_cents"), "c_custkey").limit(100)
+from sparkloom.plans import aggregates, evaluation, joins, profiles, retrieval, selections, windows  # noqa: E402, F401
