@@ -16,7 +16,11 @@ def bm25(docs: DataFrame, doc_id: str, tokens: Column, query_terms: list[str]) -
     One pass counts the terms inside each document; no row a token is made. Statistics are two numbers
     and one count a query term."""
     terms = list(dict.fromkeys(query_terms))
-    tf = [F.least(F.lit(float(MOST_COUNT)), F.size(F.filter("tokens", lambda w, t=t: w == t)).cast("double")).alias(f"tf{k}") for k, t in enumerate(terms)]
+
+    def count(term: str) -> Column:
+        return F.least(F.lit(float(MOST_COUNT)), F.size(F.filter("tokens", lambda w: w == term)).cast("double"))
+
+    tf = [count(t).alias(f"tf{k}") for k, t in enumerate(terms)]
     counted = docs.select(F.col(doc_id), tokens.alias("tokens")).select(doc_id, F.size("tokens").alias("length"), *tf)
     stats = counted.agg(
         F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]
