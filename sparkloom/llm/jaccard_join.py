@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.components import components
 from sparkloom.llm.shared import ship, written
-from sparkloom.llm.textmap import WordTable, map_text, mixed, sliced, windows
+from sparkloom.llm.textmap import map_text, mixed, sliced, windows, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Shingles in more nodes than these are of class 2 and of class 3.
@@ -49,9 +49,9 @@ PER_PIVOT = 500
 LABEL_BASE = 1.26
 
 
-def shingles(text: str | None, table: WordTable) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """The sorted set of a text's shingles; a text of fewer words is one shingle, one without words none."""
-    h = table.of((text or "").encode().lower().split())
+    h = word_hashes((text or "").encode().lower())
     if len(h) == 0:
         return h
     if len(h) < WORDS:
@@ -83,10 +83,8 @@ def sets(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
     def factory():
-        table = WordTable()
-
         def compute(texts):
-            found = [shingles(t, table) for t in texts]
+            found = [shingles(t) for t in texts]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
             return [
                 np.array([len(x) for x in found], np.int64), pa.array(digests, pa.binary()),
@@ -129,13 +127,13 @@ def _over(texts: DataFrame, run, schema: str) -> DataFrame:
 def class_tables(texts: DataFrame, shingle_count: int) -> tuple[bytes, bytes]:
     """The bit tables of frequent and of very frequent shingles.
 
-    Tasks send runs of distinct hashes with counts, cut at slot ranges; a range's runs, about two
-    million hashes, meet in one task, which returns its part of the tables."""
-    ranges = 1 << max(4, min(22, math.ceil(math.log2(max(1, shingle_count * 3 // 8) / 2e6 + 1))))
+    Tasks send runs of distinct hashes with counts, cut at slot ranges; a range's runs, about a
+    quarter million hashes, meet in one task, which returns its part of the tables."""
+    ranges = 1 << max(4, min(22, math.ceil(math.log2(max(1, shingle_count * 3 // 8) / 250_000 + 1))))
     per_range = TABLE // ranges
 
     def count(batches):
-        table, held, size = WordTable(), [], 0
+        held, size = [], 0
 
         def flush():
             hashes, n = np.unique(np.concatenate(held), return_counts=True)
@@ -155,10 +153,10 @@ def class_tables(texts: DataFrame, shingle_count: int) -> tuple[bytes, bytes]:
 
         for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
-                x = shingles(text, table)
+                x = shingles(text)
                 held.append(x[: np.searchsorted(x, np.uint64(COUNTED))])
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -251,10 +249,9 @@ def shared_entries(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(tables)
 
     def emit(batches):
-        table = WordTable()
         frequent, very = (np.frombuffer(x, np.uint8) for x in sent.value)
         for batch in sliced(batches):
-            found = [entries(shingles(t, table), frequent, very) for t in batch.column("text").to_pylist()]
+            found = [entries(shingles(t), frequent, very) for t in batch.column("text").to_pylist()]
             node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in found])
             entry = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(node)], ["entry", "node"])
@@ -315,9 +312,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = nodes.select("node", "row_id", "key").join(involved, "node", "left_semi")
 
     def hash_sets(batches):
-        table = WordTable()
         for batch in sliced(batches):
-            found = [shingles(t, table).tobytes() for t in batch.column("text").to_pylist()]
+            found = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "set"])
 
     hashed = written(_over(_texts(docs, written(wanted, "join-wanted")), hash_sets, "node long, set binary"), "join-hashed")

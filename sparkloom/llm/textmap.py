@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -43,6 +44,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones((2, 1), np.uint64)
+#: Bytes that are hashed at a time, up to the next white space.
+BLOCK = 1 << 16
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    global _powers
+    if _powers.shape[1] < n:
+        base = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        _powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), np.repeat(base, n - 1, 1)], 1), 1, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each run of anything but ASCII white space, in order: differences of running sums
+    of byte values times powers, so no word becomes an object."""
+    if len(raw) > BLOCK:
+        out, at = [], 0
+        while at < len(raw):
+            gap = _GAP.search(raw, min(len(raw), at + BLOCK - 1))
+            end = gap.end() if gap else len(raw)
+            out.append(_block_hashes(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _block_hashes(raw)
+
+
+def _block_hashes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(b) + 2, np.int8)
+    space[1:-1] = _SPACE[b]
+    edge = np.diff(space)
+    first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    powers = _powers_to(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * powers[0, : len(b)], out=sums[1:])
+    return mixed((sums[end] - sums[first]) * powers[1, first] + (end - first).astype(np.uint64))
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` numbers; empty when there are fewer."""
     if len(h) < n:
