@@ -208,11 +208,15 @@ def _combinations(tokens: np.ndarray, bucket: np.ndarray, k: int, salt: np.uint6
     return out
 
 
-def entries(tokens: np.ndarray, frequent: np.ndarray, very: np.ndarray) -> np.ndarray:
-    """Hashes of the index entries of a sorted set. Sets of fewer than 4 link with equal sets only."""
+def entries(tokens: np.ndarray, frequent: np.ndarray, very: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the index entries of a sorted set, most shingles that it can share with a set met there).
+
+    Sets that share a rare shingle of their prefixes meet at its entry. At an entry of frequent ones it is
+    enough to find those that share no rare shingle; they share n less the rare ones at most. Sets of fewer
+    than 4 link with equal sets only."""
     n = len(tokens)
     if n < 4:
-        return tokens[:0]
+        return tokens[:0], np.empty(0, np.int64)
     need = difference(n) + 1
     slot = (tokens & np.uint64(TABLE - 1)).astype(np.int64)
     bit = (slot & 7).astype(np.uint8)
@@ -220,7 +224,7 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, very: np.ndarray) -> np.nd
     level = np.where(tokens < np.uint64(COUNTED), level, 2)
     rare = tokens[level == 1]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], np.full(need, n)
     out = [rare]
     rest = np.concatenate([tokens[level == 2], tokens[level == 3]])
     level = np.sort(level[level > 1])
@@ -241,46 +245,54 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, very: np.ndarray) -> np.nd
         for k in (2, 3):
             mine = order[level[order] == k]
             out += _combinations(rest[mine], bucket[mine], k, salt)
-    return np.concatenate(out)
+    found = np.concatenate(out)
+    return found, np.where(np.arange(len(found)) < len(rare), n, n - len(rare))
 
 
 def shared_entries(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
-    """(entry, node) of the entries with two nodes or more, written."""
+    """(entry, node, n, most) of the entries with two nodes or more, written."""
     sent = texts.sparkSession.sparkContext.broadcast(tables)
 
     def emit(batches):
         frequent, very = (np.frombuffer(x, np.uint8) for x in sent.value)
         for batch in sliced(batches):
-            found = [entries(shingles(t), frequent, very) for t in batch.column("text").to_pylist()]
-            node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in found])
-            entry = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(node)], ["entry", "node"])
+            hashed = [shingles(t) for t in batch.column("text").to_pylist()]
+            found = [entries(x, frequent, very) for x in hashed]
+            counts = [len(x) for x, _ in found]
+            columns = [
+                np.concatenate([x for x, _ in found]).view(np.int64), np.repeat(batch.column("node").to_numpy(), counts),
+                np.repeat(np.array([len(x) for x in hashed], np.int64), counts), np.concatenate([m for _, m in found]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def several(batches):
         """Drops entries with one node; the rows come sorted by entry and node."""
-        entry, node = np.empty(0, np.int64), np.empty(0, np.int64)
+        rest = [np.empty(0, np.int64) for _ in names]
         kept = np.empty(0, bool)  # whether the row's entry is known to have several nodes
-
-        def judged(entry, node, kept):
-            new = np.append(True, (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])) if len(entry) else kept
-            entry, node, kept = entry[new], node[new], kept[new]
-            same = entry[1:] == entry[:-1]
-            kept = kept | np.append(same, False) | np.append(False, same) if len(entry) else kept
-            return entry, node, kept
-
         for batch in batches:
-            entry = np.concatenate([entry, batch.column("entry").to_numpy()])
-            node = np.concatenate([node, batch.column("node").to_numpy()])
+            rest = [np.concatenate([c, batch.column(k).to_numpy()]) for k, c in enumerate(rest)]
             kept = np.concatenate([kept, np.zeros(batch.num_rows, bool)])
-            entry, node, kept = judged(entry, node, kept)
-            if len(entry):  # the last row waits for the next batch
-                out = kept[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(entry[:-1][out]), pa.array(node[:-1][out])], ["entry", "node"])
-                entry, node, kept = entry[-1:], node[-1:], kept[-1:]
-        yield pa.RecordBatch.from_arrays([pa.array(entry[kept]), pa.array(node[kept])], ["entry", "node"])
+            if not len(kept):
+                continue
+            entry, node = rest[:2]
+            new = np.append(True, (entry[1:] != entry[:-1]) | (node[1:] != node[:-1]))
+            rest, kept = [c[new] for c in rest], kept[new]
+            same = rest[0][1:] == rest[0][:-1]
+            kept = kept | np.append(same, False) | np.append(False, same)
+            # the last row waits for the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][kept[:-1]]) for c in rest], names)
+            rest, kept = [c[-1:] for c in rest], kept[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in rest], names)
+
+    names = ["entry", "node", "n", "most"]
+    schema = "entry long, node long, n long, most long"
+    index = _over(texts, emit, schema).repartition("entry").sortWithinPartitions("entry", "node")
+    return written(_over(index, several, schema), "join-entries")
+
 
-    index = _over(texts, emit, "entry long, node long").repartition("entry").sortWithinPartitions("entry", "node")
-    return written(_over(index, several, "entry long, node long"), "join-entries")
+def _may_link(na, ma, nb, mb):
+    """Whether sets of these sizes can share enough, given the most that each can share at their entry."""
+    return 180 * F.least(ma, mb) >= 80 * (na + nb)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -359,29 +371,32 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     for turn in range(6):
         # pivots differ with the turn and, from the second on, among eight kinds of entries
         kind = F.pmod("entry", F.lit(8)) if turn else F.lit(0)
-        order = F.struct(F.xxhash64(F.lit(turn), kind, "node").alias("o"), "node", "component")
+        order = F.struct(F.xxhash64(F.lit(turn), kind, "node").alias("o"), "node", "component", "n", "most")
         pivot = groups.groupBy("entry").agg(F.min(order).alias("p"))
         star = groups.join(pivot, "entry").where("component != p.component")
+        star = star.where(_may_link(F.col("n"), F.col("most"), F.col("p.n"), F.col("p.most")))
         pairs = star.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "join-pairs")
         links = links.union(linked(pairs, nodes, docs))
         seen = seen.union(pairs)
         found = components(links)
         own = F.coalesce(found["component"], index["node"]).alias("component")
-        labels = index.join(found, "node", "left").select("entry", "node", own)
+        labels = index.join(found, "node", "left").select("entry", "node", "n", "most", own)
         sizes = labels.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("m"))
         open_ = sizes.groupBy("entry").agg(F.sum("m").alias("m"), F.max("m").alias("top"), F.count(F.lit(1)).alias("k"))
         open_ = open_.where("k > 1 AND m > 2")  # two nodes have been compared
-        groups = written(labels.join(open_, "entry").select("entry", "node", "component", "m", "top"), "join-open")
+        groups = written(labels.join(open_, "entry").select("entry", "node", "n", "most", "component", "m", "top"), "join-open")
         rows, left = groups.agg(F.count(F.lit(1)), F.sum(F.col("m") - F.col("top"))).first()
         if not rows:
             return found, links
         if (left or 0) <= 4 * rows:
             break
     # exhaustively: every pair of an entry's nodes that are in different components
-    other = groups.select("entry", F.col("node").alias("b"), F.col("component").alias("cb"))
-    mine = groups.select("entry", F.col("node").alias("a"), F.col("component").alias("ca"))
-    pairs = mine.join(other, "entry").where("a < b AND ca != cb").select("a", "b").distinct()
+    other = groups.select("entry", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    mine = groups.select("entry", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    apart = (mine["entry"] == other["entry"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    enough = _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"))
+    pairs = mine.join(other, apart & enough).select("a", "b").distinct()
     pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "join-pairs")
     links = links.union(linked(pairs, nodes, docs))
     return components(links), links
