@@ -178,22 +178,24 @@ def scan(docs: DataFrame, keep: list[str] | None = None, rules: tuple[Rule, ...]
             found = F.when(F.array_contains("kinds", rule.kind), found).otherwise(none)
         else:  # no mandatory trigram: look whether there is any long enough match, then take its spans
             found = F.when(F.col("text").rlike(_long_enough(rule)), found).otherwise(none)
-        parts.append(
-            F.transform(
-                found,
-                lambda x, rank=rank, rule=rule: F.struct(
-                    x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")
-                ),
-            )
-        )
+        parts.append(_placed(found, rank, rule.kind))
     return rows.select("doc", F.array_sort(F.concat(*parts)).alias("found"))
 
 
+def _placed(found: Column, rank: int, kind: str) -> Column:
+    """Spans of a rule as {start, rank, kind, end}."""
+
+    def entry(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"))
+
+    return F.transform(found, entry)
+
+
 def _long_enough(rule: Rule) -> str:
     """For a run of one class, the same run of at least ``least``, which matches the same long runs;
     else the expression."""
     single = re.fullmatch(r"(\[[^\]]+\])\+", rule.regex)
-    return f"{single[1]}{{{rule.least}}}" if single and rule.least and not rule.group else rule.regex
+    return f"{single[1]}{{{rule.least},}}" if single and rule.least and not rule.group else rule.regex
 
 
 def listed(found: Column) -> Column:
