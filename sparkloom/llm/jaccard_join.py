@@ -15,8 +15,9 @@ their sets' Jaccard similarity is at least 0.8. Equal sets are one *node*; only
 3. Nodes that share an entry are candidates. Round by round, an entry's nodes are compared with
    one pivot; whatever is linked already needs no comparison. What is left in different
    components is compared exhaustively, so no link that joins two components is lost, and
-   groups of near copies aren't expanded into pairs.
-4. Candidates are checked first by parity bit maps, which bound the sets' difference from below,
+   groups of near copies aren't expanded into pairs: bit maps folded to 256 bits stand in the
+   join's condition, so only pairs that may link become rows.
+4. Candidates are checked first by whole parity bit maps, which bound the sets' difference from below,
    then exactly, by sorted sets that meet at the pivot, salted for pivots with many candidates.
 """
 
@@ -47,6 +48,11 @@ MOST_BROADCAST = 1_000_000
 #: Comparisons that meet with one copy of a pivot's set.
 PER_PIVOT = 500
 LABEL_BASE = 1.26
+#: Kinds of entries in each round; an entry's pivot depends on its kind, so groups that share many
+#: entries meet as many pivots in a round.
+KINDS = (1, 16)
+#: A node's smallest entries, by which a pair that shares many entries is told at one of them.
+FIRSTS = 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,8 +71,8 @@ def difference(n: int) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Bit map with a bit for the parity of each residue, 1 to 2 bits a shingle, as 64-bit numbers."""
-    bits = max(64, 1 << math.ceil(math.log2(max(1, len(tokens)))))
+    """Bit map with a bit for the parity of each residue, 1 to 2 bits a shingle and 256 at least, as 64-bit numbers."""
+    bits = max(256, 1 << math.ceil(math.log2(max(1, len(tokens)))))
     odd = np.bincount((mixed(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -75,34 +81,38 @@ SET_FIELDS = [
     T.StructField("n", T.LongType()),
     T.StructField("digest", T.BinaryType()),
     T.StructField("bits", T.ArrayType(T.LongType())),
+    T.StructField("mask", T.ArrayType(T.LongType())),
 ]
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, digest, bits) of every row, written; ``key`` is the text's, ``digest`` the set's."""
+    """(doc_id, key, n, digest, bits, mask) of every row, written; ``key`` is the text's, ``digest`` the set's,
+    ``mask`` the parity bit map ``bits`` folded to 256 bits."""
     rows = docs.select("doc_id", "text").withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
     def factory():
         def compute(texts):
             found = [shingles(t) for t in texts]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in found]
+            maps = [parity(x) for x in found]
             return [
                 np.array([len(x) for x in found], np.int64), pa.array(digests, pa.binary()),
-                pa.array([parity(x) for x in found], pa.list_(pa.int64())),
+                pa.array(maps, pa.list_(pa.int64())),
+                pa.array([np.bitwise_xor.reduce(x.reshape(-1, 4), 0) for x in maps], pa.list_(pa.int64())),
             ]
 
         return compute
 
-    return written(map_text(rows, ["doc_id", "key"], SET_FIELDS, factory).select("doc.*", "n", "digest", "bits"), "join-sets")
+    return written(map_text(rows, ["doc_id", "key"], SET_FIELDS, factory).select("doc.*", "n", "digest", "bits", "mask"), "join-sets")
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """(node, digest, n, bits, first, key): one row a distinct non-empty set, with the row that stands for it."""
+    """(node, digest, n, bits, mask, first, key): one row a distinct non-empty set, with the row that stands for it."""
     by_set = rows.where("n > 0").groupBy("digest").agg(
         F.min(F.struct("doc_id", "key")).alias("row"), F.min("doc_id").alias("first"),
-        F.first("n").alias("n"), F.first("bits").alias("bits"),
+        F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("mask").alias("mask"),
     )
-    found = by_set.select("digest", "n", "bits", "first", F.col("row.doc_id").alias("row_id"), F.col("row.key").alias("key"))
+    found = by_set.select("digest", "n", "bits", "mask", "first", F.col("row.doc_id").alias("row_id"), F.col("row.key").alias("key"))
     return written(found.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
 
@@ -368,9 +378,8 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     links = spark.createDataFrame([], "a long, b long")
     seen = links
     groups = index.withColumn("component", F.col("node"))
-    for turn in range(6):
-        # pivots differ with the turn and, from the second on, among eight kinds of entries
-        kind = F.pmod("entry", F.lit(8)) if turn else F.lit(0)
+    for turn, kinds in enumerate(KINDS):
+        kind = F.pmod("entry", F.lit(kinds))
         order = F.struct(F.xxhash64(F.lit(turn), kind, "node").alias("o"), "node", "component", "n", "most")
         pivot = groups.groupBy("entry").agg(F.min(order).alias("p"))
         star = groups.join(pivot, "entry").where("component != p.component")
@@ -391,12 +400,22 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
             return found, links
         if (left or 0) <= 4 * rows:
             break
-    # exhaustively: every pair of an entry's nodes that are in different components
-    other = groups.select("entry", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    mine = groups.select("entry", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
-    apart = (mine["entry"] == other["entry"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    enough = _may_link(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"))
-    pairs = mine.join(other, apart & enough).select("a", "b").distinct()
+    # exhaustively: of an entry's nodes in different components, all pairs that the folded bit maps leave possible;
+    # a pair that shares a smaller entry of the same bound among both nodes' first ones is told there
+    masks = nodes.select("node", *[F.col("mask")[k].alias(f"m{k}") for k in range(4)])
+    rows = groups.select("entry", "node", "n", "most", "component")
+    firsts = rows.groupBy("node", "most").agg(F.slice(F.array_sort(F.collect_set("entry")), 1, FIRSTS).alias("firsts"))
+    rest = rows.join(firsts, ["node", "most"]).join(_small(masks), "node").withColumn("before", F.filter("firsts", lambda x: x < F.col("entry")))
+    rest = written(rest, "join-apart")
+    a, b = rest.alias("a"), rest.alias("b")
+    unlike = sum(F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(4))
+    pairs = a.join(
+        b,
+        (F.col("a.entry") == F.col("b.entry")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+        & _may_link(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most"))
+        & (180 * unlike <= 20 * (F.col("a.n") + F.col("b.n")))
+        & ~F.arrays_overlap("a.before", "b.firsts"),
+    ).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "join-pairs")
     links = links.union(linked(pairs, nodes, docs))
     return components(links), links
