@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import written
+from sparkloom.llm.shared import scratch, written
 
 
 def _hooked(links: DataFrame) -> DataFrame:
@@ -26,6 +26,11 @@ def _hooked(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``links`` (a, b: long); a component is named by its
     smallest node. Each round contracts every node into a root, so the links left at least halve."""
+    with scratch(links.sparkSession):
+        return written(_contracted(links), "cc-components", outlive=True)
+
+
+def _contracted(links: DataFrame) -> DataFrame:
     todo = written(
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc-links"
     )

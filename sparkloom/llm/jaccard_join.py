@@ -4,19 +4,20 @@ A document's set holds its distinct shingles of five words, as 64-bit hashes. Do
 their sets' Jaccard similarity is at least 0.8. Equal sets are one *node*; only nodes are joined.
 
 1. Shingles fall into classes by the number of nodes that hold them: rare ones (class 1), frequent
-   ones (2), very frequent ones (3). The counts are taken over all nodes; the classes go to the
-   tasks as two bit tables of fixed size (``TABLE`` bits). A shingle whose bit another one set is
-   taken for a frequent one, which costs a few more index entries and loses nothing.
+   ones (2), very frequent ones (3). All shingles of all nodes are counted; the classes go to the
+   tasks as two bit tables that grow with the number of shingles, to ``MOST_SLOTS`` bits. A shingle
+   whose bit another one set is taken for a frequent one, which costs index entries and loses nothing.
 2. A node's shingles, ordered by class and hash, are indexed from the start of that order: rare
    ones one by one, those of class k as all combinations of k within a bucket of the class. The
    prefix is extended until no n - ceil(0.8 n) missing shingles can hit all its entries: a shingle
    alone counts 1, a bucket of m shingles m - k + 1. Two nodes that link thus share an entry.
    Buckets depend on a size label; sizes that can link share a label.
 3. Nodes that share an entry are candidates. Round by round, an entry's nodes are compared with
-   one pivot; whatever is linked already needs no comparison. What is left in different
-   components is compared exhaustively, so no link that joins two components is lost, and
-   groups of near copies aren't expanded into pairs: bit maps folded to 256 bits stand in the
-   join's condition, so only pairs that may link become rows.
+   one pivot, the one with the smallest share of rare shingles; whatever is linked already needs no
+   comparison. What is left in different components is joined by entry and band of sizes, so no
+   link that joins two components is lost, and groups of near copies aren't expanded into pairs. A
+   node with over a ninth of rare shingles can, at an entry of frequent ones, link only with smaller
+   nodes that have less, so two such nodes never meet.
 4. Candidates are checked first by whole parity bit maps, which bound the sets' difference from below,
    then exactly, by sorted sets that meet at the pivot, salted for pivots with many candidates.
 """
@@ -24,6 +25,7 @@ their sets' Jaccard similarity is at least 0.8. Equal sets are one *node*; only
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +35,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import ship, written
+from sparkloom.llm.shared import few, scratch, ship, small, written
 from sparkloom.llm.textmap import map_text, mixed, sliced, windows, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Shingles in more nodes than these are of class 2 and of class 3.
 FREQUENT, VERY_FREQUENT = 8, 256
-#: Bits of a class table: 8 MB whatever the corpus.
-TABLE = 1 << 26
-#: Shingles with hashes below this are counted; the others, last in the order, pass as frequent.
-COUNTED = 3 << 61
-#: Rows of a broadcast side, at most; above, the join shuffles.
-MOST_BROADCAST = 1_000_000
+#: Bits of a class table, at most: 128 MB.
+MOST_SLOTS = 1 << 30
 #: Comparisons that meet with one copy of a pivot's set.
 PER_PIVOT = 500
 LABEL_BASE = 1.26
 #: Kinds of entries in each round; an entry's pivot depends on its kind, so groups that share many
-#: entries meet as many pivots in a round.
-KINDS = (1, 16)
+#: entries meet as many pivots in a round. Only entries with many comparisons left go on to the next one.
+KINDS = (1, 4, 16, 64)
+#: Sizes of one band differ by less than this factor.
+BAND = 1.03
+#: Comparisons a row of an entry, up to which it goes to the last join without more rounds.
+FEW = 4
 #: A node's smallest entries, by which a pair that shares many entries is told at one of them.
-FIRSTS = 8
+FIRSTS = 4
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -116,17 +118,15 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return written(found.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has few rows; its size is counted first."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the rows that stand for ``nodes``."""
+    """(node, text) of the rows that stand for ``nodes``, as often as these are repeated; where ``nodes`` are too many to be broadcast,
+    written, as several passes read them."""
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    asked = _small(nodes.select("node", "row_id", F.col("key").alias("md5")))
+    asked = nodes.select("node", "row_id", F.col("key").alias("md5"))
     same = (F.unhex(F.md5("text")) == F.col("md5")) & F.col("id").eqNullSafe(F.col("row_id"))
-    return rows.join(asked, same).select("node", "text")
+    if few(asked):
+        return rows.join(F.broadcast(asked), same).select("node", "text")
+    return written(rows.join(asked, same).select("node", "text"), "join-texts")
 
 
 def _over(texts: DataFrame, run, schema: str) -> DataFrame:
@@ -135,27 +135,27 @@ def _over(texts: DataFrame, run, schema: str) -> DataFrame:
 
 
 def class_tables(texts: DataFrame, shingle_count: int) -> tuple[bytes, bytes]:
-    """The bit tables of frequent and of very frequent shingles.
+    """The bit tables of frequent and of very frequent shingles; a shingle's slot is its first bits.
 
-    Tasks send runs of distinct hashes with counts, cut at slot ranges; a range's runs, about a
-    quarter million hashes, meet in one task, which returns its part of the tables."""
-    ranges = 1 << max(4, min(22, math.ceil(math.log2(max(1, shingle_count * 3 // 8) / 250_000 + 1))))
-    per_range = TABLE // ranges
+    Tasks send runs of distinct hashes with counts, cut at ranges of the first bits; of a hash, the
+    32 bits behind those of its range travel. A range's runs, about a quarter million hashes, meet
+    in one task, which returns its part of the tables."""
+    size = max(16, min(MOST_SLOTS.bit_length() - 1, math.ceil(math.log2(max(2, shingle_count / 2)))))
+    cut = max(4, min(size - 3, 22, math.ceil(math.log2(shingle_count / 250_000 + 1))))
 
     def count(batches):
-        held, size = [], 0
+        held, n_held = [], 0
 
         def flush():
             hashes, n = np.unique(np.concatenate(held), return_counts=True)
-            slot_range = ((hashes & np.uint64(TABLE - 1)) // np.uint64(per_range)).astype(np.int64)
-            order = np.argsort(slot_range, kind="stable")
-            hashes, n, slot_range = hashes[order], np.minimum(n[order], 65535).astype("<u2"), slot_range[order]
-            at = np.flatnonzero(np.diff(slot_range, prepend=-1))
+            first = (hashes >> np.uint64(64 - cut)).astype(np.int64)
+            rest, n = (hashes >> np.uint64(32 - cut)).astype("<u4"), np.minimum(n, 255).astype(np.uint8)
+            at = np.flatnonzero(np.diff(first, prepend=-1))
             ends = np.append(at[1:], len(hashes))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(slot_range[at]),
-                    pa.array([hashes[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
+                    pa.array(first[at]),
+                    pa.array([rest[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
                     pa.array([n[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
                 ],
                 ["range", "hashes", "counts"],
@@ -163,37 +163,37 @@ def class_tables(texts: DataFrame, shingle_count: int) -> tuple[bytes, bytes]:
 
         for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
-                x = shingles(text)
-                held.append(x[: np.searchsorted(x, np.uint64(COUNTED))])
-                size += len(held[-1])
-                if size > 500_000:
+                held.append(shingles(text))
+                n_held += len(held[-1])
+                if n_held > 500_000:
                     yield flush()
-                    held, size = [], 0
-        if size:
+                    held, n_held = [], 0
+        if n_held:
             yield flush()
 
     def mark(key, runs):
-        hashes = np.concatenate([np.frombuffer(x, "<u8") for x in runs.column("hashes").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u2") for x in runs.column("counts").to_pylist()]).astype(np.int64)
+        hashes = np.concatenate([np.frombuffer(x, "<u4") for x in runs.column("hashes").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in runs.column("counts").to_pylist()]).astype(np.int64)
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
         at = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
         total = np.add.reduceat(counts, at)
-        slots = ((hashes[at] & np.uint64(TABLE - 1)) % np.uint64(per_range)).astype(np.int64)
+        slots = (hashes[at] >> np.uint32(32 - (size - cut))).astype(np.int64)
         out = []
         for most in (FREQUENT, VERY_FREQUENT):
-            bits = np.zeros(per_range, np.uint8)
+            bits = np.zeros(1 << (size - cut), np.uint8)
             bits[slots[total > most]] = 1
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"range": [key[0].as_py()], "frequent": [out[0]], "very": [out[1]]}, schema=pa.schema([("range", pa.int64()), ("frequent", pa.binary()), ("very", pa.binary())]))
 
     runs = _over(texts, count, "range long, hashes binary, counts binary")
-    parts = runs.groupBy("range").applyInArrow(mark, "range long, frequent binary, very binary").collect()  # 16 MB in all
-    tables = bytearray(TABLE // 8), bytearray(TABLE // 8)
+    parts = runs.groupBy("range").applyInArrow(mark, "range long, frequent binary, very binary").collect()  # MOST_SLOTS / 4 bytes at most
+    tables = bytearray(1 << (size - 3)), bytearray(1 << (size - 3))
+    width = 1 << (size - cut - 3)
     for row in parts:
-        at = row["range"] * per_range // 8
-        tables[0][at : at + per_range // 8] = row["frequent"]
-        tables[1][at : at + per_range // 8] = row["very"]
+        at = row["range"] * width
+        tables[0][at : at + width] = row["frequent"]
+        tables[1][at : at + width] = row["very"]
     return bytes(tables[0]), bytes(tables[1])
 
 
@@ -228,10 +228,9 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, very: np.ndarray) -> tuple
     if n < 4:
         return tokens[:0], np.empty(0, np.int64)
     need = difference(n) + 1
-    slot = (tokens & np.uint64(TABLE - 1)).astype(np.int64)
+    slot = (tokens >> np.uint64(62 - len(frequent).bit_length())).astype(np.int64)  # a table has a power of two bytes
     bit = (slot & 7).astype(np.uint8)
     level = 1 + ((frequent[slot >> 3] >> bit) & 1) + ((very[slot >> 3] >> bit) & 1)
-    level = np.where(tokens < np.uint64(COUNTED), level, 2)
     rare = tokens[level == 1]
     if len(rare) >= need:
         return rare[:need], np.full(need, n)
@@ -255,8 +254,8 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, very: np.ndarray) -> tuple
         for k in (2, 3):
             mine = order[level[order] == k]
             out += _combinations(rest[mine], bucket[mine], k, salt)
-    found = np.concatenate(out)
-    return found, np.where(np.arange(len(found)) < len(rare), n, n - len(rare))
+    found, first = np.unique(np.concatenate(out), return_index=True)
+    return found, np.where(first < len(rare), n, n - len(rare))
 
 
 def shared_entries(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
@@ -275,29 +274,12 @@ def shared_entries(texts: DataFrame, tables: tuple[bytes, bytes]) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    def several(batches):
-        """Drops entries with one node; the rows come sorted by entry and node."""
-        rest = [np.empty(0, np.int64) for _ in names]
-        kept = np.empty(0, bool)  # whether the row's entry is known to have several nodes
-        for batch in batches:
-            rest = [np.concatenate([c, batch.column(k).to_numpy()]) for k, c in enumerate(rest)]
-            kept = np.concatenate([kept, np.zeros(batch.num_rows, bool)])
-            if not len(kept):
-                continue
-            entry, node = rest[:2]
-            new = np.append(True, (entry[1:] != entry[:-1]) | (node[1:] != node[:-1]))
-            rest, kept = [c[new] for c in rest], kept[new]
-            same = rest[0][1:] == rest[0][:-1]
-            kept = kept | np.append(same, False) | np.append(False, same)
-            # the last row waits for the next batch
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][kept[:-1]]) for c in rest], names)
-            rest, kept = [c[-1:] for c in rest], kept[-1:]
-        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in rest], names)
-
     names = ["entry", "node", "n", "most"]
-    schema = "entry long, node long, n long, most long"
-    index = _over(texts, emit, schema).repartition("entry").sortWithinPartitions("entry", "node")
-    return written(_over(index, several, schema), "join-entries")
+    with scratch(texts.sparkSession):
+        index = written(_over(texts, emit, "entry long, node long, n long, most long"), "join-index")
+        several = index.groupBy("entry").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("entry")
+        # a sort-merge join, whose partitions adaptive execution splits at an entry of many nodes
+        return written(index.join(several.hint("merge"), "entry"), "join-entries", outlive=True)
 
 
 def _may_link(na, ma, nb, mb):
@@ -327,6 +309,11 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, written."""
+    with scratch(docs.sparkSession):
+        return written(_verified(pairs, nodes, docs), "join-linked", outlive=True)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     maybe = written(_possible(pairs, nodes), "join-maybe")
     if maybe.isEmpty():
         return maybe.select("a", "b")
@@ -365,22 +352,56 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     met = pivots.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return written(_over(met, compare, "a long, b long"), "join-linked")
+    return _over(met, compare, "a long, b long")
+
 
+def _band(n):
+    return F.floor(F.log(n) / F.lit(math.log(BAND))).cast("int")
 
-def node_components(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((node, component) of the nodes with links, (a, b) links found). Nodes of one component are
-    joined by found links; links within a component beyond those are not listed."""
+
+def _apart(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``groups`` with what the join of nodes in different components needs: the bit map ``m0`` to ``m3``
+    and the node's ``firsts``, by which a pair that shares many entries is told at one of them."""
+    masks = nodes.select("node", *[F.col("mask")[k].alias(f"m{k}") for k in range(4)])
+    firsts = groups.groupBy("node", "most").agg(F.slice(F.array_sort(F.collect_set("entry")), 1, FIRSTS).alias("firsts"))
+    return groups.join(firsts, ["node", "most"]).join(small(masks), "node")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The pairs of rows (a, b) of one entry that may link, with different components; ``a`` is the larger.
+
+    ``b`` has to reach its own size or more, and at a ``busy`` entry ``a`` looks for it in the bands of the
+    sizes that both allow."""
+    low, high = F.ceil(80 * F.col("n") / 100), F.least("n", "high")
+    bands = F.when(F.col("busy"), F.sequence(_band(low), _band(high))).otherwise(F.array(F.lit(0)))
+    a = rows.where(high >= low).withColumn("band", F.explode(bands)).alias("a")
+    b = rows.where("high >= n").withColumn("band", F.when(F.col("busy"), _band(F.col("n"))).otherwise(0)).alias("b")
+    unlike = sum(F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(4))
+    told = F.arrays_overlap(F.filter("a.firsts", lambda x: x < F.col("a.entry")), "b.firsts")
+    return a.join(
+        b,
+        (F.col("a.entry") == F.col("b.entry")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component"))
+        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))))
+        & _may_link(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most"))
+        & (180 * unlike <= 20 * (F.col("a.n") + F.col("b.n"))) & ~told,
+    )
+
+
+def node_components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the nodes with links. Nodes of one component are joined by links that were
+    found; links within a component beyond those are not looked for."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
     texts = _texts(docs, nodes)
-    index = shared_entries(texts, class_tables(texts, total))
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    seen = links
-    groups = index.withColumn("component", F.col("node"))
+    groups = shared_entries(texts, class_tables(texts, total)).withColumn("component", F.col("node"))
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    seen, rest = links, []
+    # the largest size that a partner of the node's can have at the entry; below n, only smaller nodes link
+    high = F.floor((180 * F.col("most") - 80 * F.col("n")) / 80)
     for turn, kinds in enumerate(KINDS):
-        kind = F.pmod("entry", F.lit(kinds))
-        order = F.struct(F.xxhash64(F.lit(turn), kind, "node").alias("o"), "node", "component", "n", "most")
+        order = F.struct(
+            F.floor(20 * (F.col("n") - F.col("most")) / F.col("n")).alias("rare"),
+            F.xxhash64(F.lit(turn), F.pmod("entry", F.lit(kinds)), "node").alias("o"), "node", "component", "n", "most",
+        )
         pivot = groups.groupBy("entry").agg(F.min(order).alias("p"))
         star = groups.join(pivot, "entry").where("component != p.component")
         star = star.where(_may_link(F.col("n"), F.col("most"), F.col("p.n"), F.col("p.most")))
@@ -388,54 +409,45 @@ def node_components(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "join-pairs")
         links = links.union(linked(pairs, nodes, docs))
         seen = seen.union(pairs)
-        found = components(links)
-        own = F.coalesce(found["component"], index["node"]).alias("component")
-        labels = index.join(found, "node", "left").select("entry", "node", "n", "most", own)
-        sizes = labels.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("m"))
-        open_ = sizes.groupBy("entry").agg(F.sum("m").alias("m"), F.max("m").alias("top"), F.count(F.lit(1)).alias("k"))
-        open_ = open_.where("k > 1 AND m > 2")  # two nodes have been compared
-        groups = written(labels.join(open_, "entry").select("entry", "node", "n", "most", "component", "m", "top"), "join-open")
-        rows, left = groups.agg(F.count(F.lit(1)), F.sum(F.col("m") - F.col("top"))).first()
-        if not rows:
-            return found, links
-        if (left or 0) <= 4 * rows:
+        labels = _relabelled(groups, components(links))
+        own = labels.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("m"), F.count_if(high >= F.col("n")).alias("s"))
+        each = own.groupBy("entry").agg(*[f(c).alias(f"{c}{n}") for c in "ms" for n, f in (("", F.sum), ("_top", F.max))], F.count(F.lit(1)).alias("k"))
+        each = each.where("k > 1 AND m > 2")  # two nodes have been compared
+        # nodes that reach their own size meet those of other components, the others all of them
+        busy = F.col("s") * (F.col("s") - F.col("s_top")) + (F.col("m") - F.col("s")) * F.col("s") > FEW * F.col("m")
+        still = written(labels.join(each.select("entry", busy.alias("busy")), "entry"), "join-open")
+        rest.append(still.where("NOT busy"))
+        groups = still.where("busy").drop("busy")
+        if groups.isEmpty():
             break
-    # exhaustively: of an entry's nodes in different components, all pairs that the folded bit maps leave possible;
-    # a pair that shares a smaller entry of the same bound among both nodes' first ones is told there
-    masks = nodes.select("node", *[F.col("mask")[k].alias(f"m{k}") for k in range(4)])
-    rows = groups.select("entry", "node", "n", "most", "component")
-    firsts = rows.groupBy("node", "most").agg(F.slice(F.array_sort(F.collect_set("entry")), 1, FIRSTS).alias("firsts"))
-    rest = rows.join(firsts, ["node", "most"]).join(_small(masks), "node").withColumn("before", F.filter("firsts", lambda x: x < F.col("entry")))
-    rest = written(rest, "join-apart")
-    a, b = rest.alias("a"), rest.alias("b")
-    unlike = sum(F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(4))
-    pairs = a.join(
-        b,
-        (F.col("a.entry") == F.col("b.entry")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-        & _may_link(F.col("a.n"), F.col("a.most"), F.col("b.n"), F.col("b.most"))
-        & (180 * unlike <= 20 * (F.col("a.n") + F.col("b.n")))
-        & ~F.arrays_overlap("a.before", "b.firsts"),
-    ).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    rest.append(groups.withColumn("busy", F.lit(True)))
+    left = _relabelled(reduce(DataFrame.unionByName, rest), components(links)).withColumn("high", high)
+    ids = F.col("a.node"), F.col("b.node")
+    pairs = _met(written(_apart(left, nodes), "join-apart")).select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
     pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "join-pairs")
-    links = links.union(linked(pairs, nodes, docs))
-    return components(links), links
+    return components(links.union(linked(pairs, nodes, docs)))
+
+
+def _relabelled(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """``groups`` with the components of ``found``; nodes that it lacks keep theirs."""
+    new = found.withColumnRenamed("component", "new")
+    return groups.join(small(new), "node", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, n_set_links) of every row of ``docs``.
+    """(doc_id, key, n_shingles, component_id) of every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included; null ids do
     not count as smallest, and a component without any id has null. Null and empty texts, and texts
     without words, have no shingles and are linked with nothing. Repeated rows get equal results.
     Works on empty tables; only doc_id and text are read."""
     rows = sets(docs)
-    nodes = nodes_of(rows)
-    found, links = node_components(docs, nodes)
-    labelled = nodes.join(found, "node", "left").select(
-        "digest", "first", F.coalesce("component", "node").alias("component"), "node"
-    )
-    firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = labelled.join(firsts, "component").select("digest", "component_id")
+    with scratch(docs.sparkSession):
+        nodes = nodes_of(rows)
+        found = node_components(docs, nodes)
+        labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
+        firsts = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = written(labelled.join(firsts, "component").select("digest", "component_id"), "join-named", outlive=True)
     out = rows.join(named, "digest", "left")
     return out.select(
         "doc_id", "key", F.col("n").alias("n_shingles"),
@@ -447,17 +459,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each component the row with the smallest
     doc_id (of several such rows the one with the smallest text key, of equal rows one); rows without
     shingles all stay."""
-    labels = written(join(docs), "join-labels")
-    tag = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    named = labels.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("key")).alias("own"))
-    best = named.agg(F.min(tag).alias("t")).select(F.col("t.doc_id").alias("kept_id"), F.col("t.key").alias("kept_key"))
-    bare = labels.where("n_shingles = 0").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
-    stay = best.withColumn("single", F.lit(True)).unionByName(bare.withColumn("single", F.lit(False)))
+    with scratch(docs.sparkSession):
+        labels = written(join(docs), "join-labels")
+        tag = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+        named = labels.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("key")).alias("own"))
+        best = named.agg(F.min(tag).alias("t")).select(F.col("t.doc_id").alias("kept_id"), F.col("t.key").alias("kept_key"))
+        bare = labels.where("n_shingles = 0").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+        stay = best.withColumn("single", F.lit(True)).unionByName(bare.withColumn("single", F.lit(False)))
+        stay = written(stay, "join-stay", outlive=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"),
         F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5"),
     )
-    met = rows.join(_small(written(stay, "join-stay")), (F.col("md5") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    met = rows.join(small(stay), (F.col("md5") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
     single = met.where("single").dropDuplicates(["kept_key", "kept_id"]).select("doc.*")
     return single.unionByName(met.where("NOT single").select("doc.*"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +31,47 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders for tables that are removed when their work is done, the innermost last.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` writes meanwhile is removed at the end, but for tables that ``outlive`` it."""
+    folder = f"{(_scratch.get() or (shared_folder(spark),))[-1]}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set((*_scratch.get(), folder))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so that a lost
-    executor costs no recomputation, and what is nondeterministic in it is fixed."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    executor costs no recomputation, and what is nondeterministic in it is fixed. Inside ``scratch``
+    the table goes when that ends, or with ``outlive`` when the ``scratch`` around it does."""
+    folders = (shared_folder(df.sparkSession), *_scratch.get())
+    path = f"{folders[-2 if outlive and len(folders) > 1 else -1]}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a broadcast side, at most. They have under 150 bytes each in memory, so 60 MB.
+MOST_BROADCAST = 400_000
+
+
+def few(df: DataFrame) -> bool:
+    """Whether ``df``, of narrow rows, may be broadcast; it is counted as far as needed. Joins with what may
+    not be are sort-merge joins, whose partitions adaptive execution splits at hot keys."""
+    return df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if few(df) else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that no model learns from; null ids are not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from sparkloom.llm import jaccard_join as jj
+from sparkloom.llm import shared
 from sparkloom.llm.textmap import word_hashes
 
 
@@ -93,7 +94,8 @@ def test_join_agrees_with_brute_force_on_documents(spark, small):
 
 def test_entries_meet_for_every_link():
     draw = np.random.default_rng(1)
-    levels = (np.zeros(jj.TABLE // 8, np.uint8), np.full(jj.TABLE // 8, 255, np.uint8), draw.integers(0, 256, jj.TABLE // 8, dtype=np.uint8))
+    size = 1 << 17  # bytes of a class table
+    levels = (np.zeros(size, np.uint8), np.full(size, 255, np.uint8), draw.integers(0, 256, size, dtype=np.uint8))
     for n in [*range(4, 40), 77, 300]:
         for _ in range(12):
             x = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
@@ -140,3 +142,44 @@ def test_word_hashes_follow_the_words(odd):
         h, words = word_hashes(raw), raw.split()
         assert len(h) == len(words)
         assert len(set(h.tolist())) == len(set(words)) == len(set(zip(h.tolist(), words, strict=True)))
+
+
+def test_large_branches_agree_with_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_BROADCAST", 0)
+    check(odd)
+    docs = spark.createDataFrame(near_copies(60), "doc_id long, text string").repartition(4)
+    check(docs)
+    assert jj.deduplicate(docs).count() == len({c for _, c in brute(docs.collect()).values()})
+
+
+def test_one_text_and_one_passage_in_a_third_of_the_rows(spark):
+    draw = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(k, passage) for k in range(300)]
+    rows += [(1000 + k, passage + " " + " ".join(f"y{draw.randrange(10**6)}" for _ in range(15))) for k in range(300)]
+    rows += [(2000 + k, " ".join(f"z{draw.randrange(10**6)}" for _ in range(60))) for k in range(300)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
+def test_a_boilerplate_in_long_documents_makes_few_pairs(spark, monkeypatch):
+    """What meets in the last join grows with the rows, not with their square."""
+    draw = random.Random(4)
+    passage = " ".join(f"q{k}" for k in range(300))
+    made = []
+
+    def pairs_of(n):
+        rows = [(k, passage + " " + " ".join(f"y{draw.randrange(10**6)}" for _ in range(draw.randrange(5, 300)))) for k in range(n)]
+        made.clear()
+        jj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count()
+        return sum(made)
+
+    whole = jj._met
+
+    def counted(rows):
+        out = whole(rows)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "_met", counted)
+    few, many = pairs_of(500), pairs_of(2000)
+    assert many <= 6 * max(few, 100)
