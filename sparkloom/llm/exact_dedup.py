@@ -21,7 +21,7 @@ import string
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import written
+from sparkloom.llm.shared import small, written
 
 SALTS = 16
 
@@ -58,7 +58,6 @@ def _members(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
         F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("digest"),
-        F.monotonically_increasing_id().alias("tag"),
     )
 
 
@@ -72,7 +71,7 @@ def exact_duplicates(docs: DataFrame, keep: list[str] | None = None, salts: int
     """
     found = winners(docs.select("doc_id", "text"), salts)
     rank = F.row_number().over(Window.partitionBy("id", "digest").orderBy("tag"))
-    rows = _members(docs, keep or docs.columns).withColumn("rank", rank)
+    rows = _members(docs, keep or docs.columns).withColumn("tag", F.monotonically_increasing_id()).withColumn("rank", rank)
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == 1)
     return rows.join(found, "digest").select(
         "doc", "keep_id", "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256")
@@ -80,14 +79,18 @@ def exact_duplicates(docs: DataFrame, keep: list[str] | None = None, salts: int
 
 
 def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; joined by digest and doc_id, so that the
-    copies of a text do not meet."""
-    found = winners(docs.select("doc_id", "text"), salts)
+    """The rows of ``docs`` that stay, with their columns, by the rules of ``exact_duplicates``.
+
+    Only texts of several rows take part in a join: the others stay as they are. Where these texts are
+    few, no whole document is shuffled but those that stay for them."""
+    several = winners(docs.select("doc_id", "text"), salts).where("group_size > 1").select("digest", "keep_id")
+    several = small(several)
     rows = _members(docs, docs.columns)
-    top = (rows["digest"] == found["digest"]) & rows["id"].eqNullSafe(found["keep_id"])
-    rank = F.row_number().over(Window.partitionBy("of", "id").orderBy("tag"))
-    stay = rows.join(found, top).select("doc", "id", "tag", found["digest"].alias("of"))
-    return stay.withColumn("rank", rank).where("rank = 1").select("doc.*")
+    single = rows.join(several.select("digest"), "digest", "left_anti").select("doc")
+    top = (rows["digest"] == several["digest"]) & rows["id"].eqNullSafe(several["keep_id"])
+    # rows that repeat text and doc_id are combined in the tasks first
+    best = rows.join(several, top).groupBy(several["digest"].alias("of")).agg(F.first("doc").alias("doc")).select("doc")
+    return single.unionByName(best).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

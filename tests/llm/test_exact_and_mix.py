@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sparkloom.llm import exact_dedup, mixing
+from sparkloom.llm import exact_dedup, mixing, shared
 
 
 def lowered(text):
@@ -91,3 +91,16 @@ def test_rounding_keeps_words_and_expectations(spark):
 
 def test_mix_of_nothing(none):
     assert mixing.mix(none).count() == 0
+
+
+def test_exact_dedup_with_one_text_in_a_third_of_the_rows(spark, odd, monkeypatch):
+    rows = [(k, "Hot Text" if k % 3 == 0 else f"text {k // 2}") for k in range(300)] + [(297, "hot text")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    best = {}
+    for d, t in rows:
+        best[t.lower()] = max(best.get(t.lower(), -1), d)
+    for most in (shared.MOST_BROADCAST, 0):
+        monkeypatch.setattr(shared, "MOST_BROADCAST", most)
+        stay = exact_dedup.deduplicate(docs).collect()
+        assert Counter((r.doc_id, r.text.lower()) for r in stay) == Counter((d, t) for t, d in best.items())
+        assert exact_dedup.deduplicate(odd).count() == len({lowered(r.text) for r in odd.collect()})
