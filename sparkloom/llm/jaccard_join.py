@@ -461,19 +461,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     shingles all stay."""
     with scratch(docs.sparkSession):
         labels = written(join(docs), "join-labels")
-        tag = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-        named = labels.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("key")).alias("own"))
-        best = named.agg(F.min(tag).alias("t")).select(F.col("t.doc_id").alias("kept_id"), F.col("t.key").alias("kept_key"))
+        own = F.when(F.col("component_id").isNull(), F.col("key")).alias("own")
+        alike = labels.where("n_shingles > 0").groupBy("component_id", own, "doc_id", "key").agg(F.count(F.lit(1)).alias("m"))
+        best = alike.groupBy("component_id", "own").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "m")).alias("t"))
+        best = best.select(F.col("t.doc_id").alias("kept_id"), F.col("t.key").alias("kept_key"), (F.col("t.m") > 1).alias("several"))
         bare = labels.where("n_shingles = 0").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
-        stay = best.withColumn("single", F.lit(True)).unionByName(bare.withColumn("single", F.lit(False)))
+        stay = best.unionByName(bare.withColumn("several", F.lit(False)))
         stay = written(stay, "join-stay", outlive=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"),
         F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5"),
     )
     met = rows.join(small(stay), (F.col("md5") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
-    single = met.where("single").dropDuplicates(["kept_key", "kept_id"]).select("doc.*")
-    return single.unionByName(met.where("NOT single").select("doc.*"))
+    # only rows that repeat doc_id and text are shuffled
+    one = met.where("several").dropDuplicates(["kept_key", "kept_id"]).select("doc.*")
+    return met.where("NOT several").select("doc.*").unionByName(one)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

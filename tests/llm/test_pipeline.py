@@ -49,3 +49,22 @@ def test_stages_take_effect(spark, small):
 def test_run_gives_the_last_stage(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+def test_stages_on_odd_rows_and_on_nothing(spark, odd, none, tmp_path):
+    """Nulls, ties, repeated rows and clashing names go through all stages; an empty table stays empty."""
+    quality = [(k, 1, 0) for k in range(0, 12)] + [(k, 0, 1) for k in range(12, 18)] + [(None, 1, None), (3, None, None)]
+    spark.createDataFrame(quality, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, none):
+        at, n = docs, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, str(tmp_path))
+            if name == "pack":
+                assert (out.count() == 0) == (n == 0)
+                break
+            assert out.columns == docs.columns
+            at = spark.createDataFrame(out.collect(), out.schema)
+            if name != "mix":
+                assert at.count() <= n
+                n = at.count()
+        assert (n == 0) == (docs is none)
