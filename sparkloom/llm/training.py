@@ -19,7 +19,8 @@ SAMPLE = 3000
 
 def labelled(docs: DataFrame, labels: DataFrame, classes: int, limit: int = SAMPLE) -> DataFrame:
     """(doc_id, text, y, weight) of a bounded sample; ``labels`` has (doc_id, y) with y from 0 to
-    ``classes`` - 1. A class of the sample weighs as many rows as it has labels."""
+    ``classes`` - 1. A class of the sample weighs as many rows as it has labels. Of several rows of a
+    doc_id, the text with the smallest hash counts; of several labels, the largest."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = known.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     each = limit // classes
@@ -31,7 +32,9 @@ def labelled(docs: DataFrame, labels: DataFrame, classes: int, limit: int = SAMP
         "weight", F.greatest(F.lit(1.0), F.col("n") / F.lit(float(each)))
     )
     # at most `limit` rows of three numbers: small enough to send to every task
-    return docs.select("doc_id", "text").join(F.broadcast(weighted), "doc_id").select("doc_id", "text", "y", "weight")
+    rows = docs.select("doc_id", "text").join(F.broadcast(weighted), "doc_id")
+    one = rows.groupBy("doc_id", "y", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("doc_id", "text", "y", "weight")
 
 
 class Sample:
