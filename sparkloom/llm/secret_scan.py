@@ -20,7 +20,7 @@ from re import _parser as syntax
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import written
+from sparkloom.llm.shared import small, written
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,6 @@ RULES = (
 
 #: Exact strings that a stretch of an expression is unfolded into, at most.
 MOST_STRINGS = 64
-#: Candidate keys that are sent to every task, at most: 8 bytes each.
-MOST_BROADCAST = 1_000_000
 
 
 def _strings(node) -> set[str] | None:
@@ -157,7 +155,8 @@ def spans(text: Column, rule: Rule) -> Column:
 
 def scan(docs: DataFrame, keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` (columns ``keep`` as the struct ``doc``) with ``found``: {start, rank, kind, end} of every
-    secret, by start, then by the rules' order. Null texts count as empty and hold none."""
+    secret, by start, then by the rules' order. Null texts count as empty and hold none; repeated rows
+    have equal spans, and spans of different rules may start together or overlap. Works on empty tables."""
     kept = keep or docs.columns
     queried = [r for r in rules if trigram_query(r.regex)]
     trigrams = sorted({t for r in queried for a in trigram_query(r.regex) for t in a})
@@ -165,9 +164,8 @@ def scan(docs: DataFrame, keep: list[str] | None = None, rules: tuple[Rule, ...]
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     ).withColumn("key", _key(F.col("text")))
     if trigrams:
-        few = written(candidates(postings(docs.select("text"), trigrams), rules), "secret-candidates")
-        many = few.count() > MOST_BROADCAST
-        rows = rows.join(few if many else F.broadcast(few), "key", "left")
+        found = written(candidates(postings(docs.select("text"), trigrams), rules), "secret-candidates")
+        rows = rows.join(small(found), "key", "left")
     else:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start:int,end:int>>")

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import ship, written
+from sparkloom.llm import shared
+from sparkloom.llm.shared import ship, small, written
 from sparkloom.llm.textmap import mixed
 
 WINDOW, CORE, SIDE = 50, 18, 16
@@ -39,8 +40,6 @@ REACH = WINDOW - CORE
 CHUNK = 1 << 18
 #: Anchors a task holds before it sends them; suffixes a task sorts at a time.
 HELD, SORTED = 1_000_000, 150_000
-#: Rows, or stretches, of a broadcast side, at most; above, the join shuffles.
-MOST_BROADCAST = 1_000_000
 
 _C = 0x9E3779B97F4A7C15
 
@@ -390,7 +389,7 @@ def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     copied = written(groups.where("n > 1").select("key", "first"), "suffix-copied")
     first = F.coalesce("first", "doc_id")
-    texts = rows.join(_small(copied, copied.count()), "key", "left").where((F.col("doc_id") == first) & (F.octet_length("text") >= WINDOW))
+    texts = rows.join(small(copied), "key", "left").where((F.col("doc_id") == first) & (F.octet_length("text") >= WINDOW))
     texts = texts.select("key", "doc_id", "text")
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(24, max(6, math.ceil(math.log2(size / 17 / HELD + 1))))
@@ -406,10 +405,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
 
 
-def _small(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= MOST_BROADCAST else df
-
-
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept``, the bytes that are
     left, is null unless ``with_text``.
@@ -419,7 +414,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     equal ids, so neither loses to the other. Works on empty tables; only doc_id and text are read."""
     copied, cuts = spans_of(docs)
     stretch_count = cuts.agg(F.sum(F.aggregate("spans", F.lit(0), lambda s, x: s + F.size(x)))).first()[0] or 0
-    rows = _rows(docs).join(_small(copied, copied.count()), "key", "left").join(_small(cuts, stretch_count), "key", "left")
+    rows = _rows(docs).join(small(copied), "key", "left").join(F.broadcast(cuts) if stretch_count <= shared.MOST_BROADCAST else cuts, "key", "left")
     n = F.octet_length("text").cast("long")
     whole = (F.col("doc_id") > F.col("first")) & (n >= WINDOW)
     cut = F.col("spans").isNotNull() & F.col("doc_id").isNotNull() & ~F.coalesce(whole, F.lit(False))

@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import secret_scan
+from sparkloom.llm import secret_scan, shared
 from sparkloom.llm.secret_scan import RULES, trigram_query
 
 BASE = [
@@ -64,3 +65,25 @@ def test_a_query_never_misses_a_match():
 
 def test_scan_of_nothing(none):
     assert secret_scan.scan(none).count() == 0
+
+
+def test_added_rules_agree_with_brute_force(spark, odd, monkeypatch):
+    """On both branches of the join, with one text in a third of all rows."""
+    draw = random.Random(5)
+    parts = [
+        "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN rsa PRIVATE KEY-----", "eyJ" + "a" * 9, ".", "eyJ", "x1_-Z" * 2,
+        "ghp_" + "aB1" * 12, "ghs_" + "b" * 35, "ghx_", "xoxb-" + "1a" * 6, "xoxz-1234567890", "sk_live_" + "A" * 16, "rk_live_" + "B" * 15, " ", "é", "🙂",
+    ]
+    rows = [(1000 + k, "".join(draw.choice(parts) for _ in range(draw.randrange(12)))) for k in range(300)]
+    rows += [(3000 + k, parts[0] + " " + parts[7]) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    added = [(rank, r.kind, re.compile(r.regex)) for rank, r in enumerate(RULES) if not r.base]
+    for most in (shared.MOST_BROADCAST, 0):
+        monkeypatch.setattr(shared, "MOST_BROADCAST", most)
+        some = 0
+        for r in secret_scan.scan(docs, ["doc_id", "text"]).collect():
+            want = sorted((m.start(), rank, kind, m.end()) for rank, kind, x in added for m in x.finditer(r.doc.text or ""))
+            got = [(x["start"], x["rank"], x["kind"], x["end"]) for x in r.found if x["rank"] >= 3]
+            assert got == want
+            some += bool(want)
+        assert some > 200

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+from sparkloom.llm import shared
 from sparkloom.llm import suffix_dedup as sd
 
 
@@ -79,3 +80,13 @@ def test_merge_gives_order_and_common_prefixes():
 
 def test_nothing(none):
     assert sd.remove_repeats(none).count() == 0
+
+
+def test_large_branches_and_a_passage_in_all_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_BROADCAST", 0)
+    check(odd)
+    draw = random.Random(6)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(120))
+    rows = [(k, passage) for k in range(60)]
+    rows += [(100 + k, f"{draw.random()} {passage} {draw.random()}") for k in range(120)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
