@@ -6,7 +6,9 @@ ties go to the first language in code point order. ``score`` grows from 0 with t
 next language, relative to the text's size; below ``NARROW`` the prediction is marked rejected.
 
 Texts for the dictionaries are a bounded choice by a hash of doc_id, ``PER_LANG`` a language,
-outside the held-out fifth. Languages are whatever the training rows name, and are few: their
+outside the held-out fifth. Of a long one, ``PIECES`` stretches of ``PIECE`` characters, spread evenly
+over the whole text, go into the dictionary, of a shorter one all: every chosen text counts alike, and
+a dictionary has ``PER_LANG`` * ``PIECES`` * ``PIECE`` characters at most. Languages are whatever the training rows name, and are few: their
 number is checked against ``MOST_LANGUAGES``.
 """
 
@@ -18,35 +20,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.shared import held_out
+from sparkloom.llm.shared import held_out, written
 from sparkloom.llm.textmap import map_text
 
-PER_LANG, DICTIONARY, PIECE = 120, 65_536, 2_000
+PER_LANG, PIECES, PIECE = 120, 6, 100
 BLOCK = 1 << 14
 NARROW = 0.01
 MOST_LANGUAGES = 400
 UNKNOWN = "und"
 
 
+def _pieces(text):
+    """The stretches of a text, in order, one after the other."""
+    room = F.length(text) - PIECE
+    spread = F.transform(
+        F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(text, (F.floor(k * room / (PIECES - 1)) + 1).cast("int"), F.lit(PIECE))
+    )
+    return F.lower(F.when(F.length(text) <= PIECES * PIECE, text).otherwise(F.array_join(spread, "\n")))
+
+
 def dictionaries(docs: DataFrame, per_lang: int = PER_LANG) -> dict[str, bytes]:
     """Language to the content of its dictionary, from at most ``per_lang`` training texts each.
 
-    Each task first keeps its own ``per_lang`` texts of a language, so no language's rows meet."""
-    learn = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    pieces = learn.select("lang", F.xxhash64("doc_id").alias("turn"), "doc_id", F.lower(F.substring("text", 1, PIECE)).alias("piece"))
+    Ids are chosen first, each task's ``per_lang`` of a language, then those of 256 groups of tasks, then
+    all; only the chosen texts are read again. Rows without doc_id are not learned from; of several rows
+    of a doc_id, the text with the smallest hash counts."""
+    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    ids = learn.select("lang", "doc_id", F.xxhash64("doc_id").alias("turn"), F.pmod(F.spark_partition_id(), F.lit(256)).alias("part"))
     local = Window.partitionBy("lang", "part").orderBy("turn", "doc_id")
     overall = Window.partitionBy("lang").orderBy("turn", "doc_id")
-    few = (
-        pieces.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
-        .withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= per_lang)
+    chosen = (
+        ids.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= per_lang)
         .withColumn("rank", F.row_number().over(overall)).where(F.col("rank") <= per_lang)
-        .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "piece"))).alias("pieces"))
-        .select("lang", F.array_join("pieces.piece", "\n").alias("content"))
+        .select("lang", "doc_id", "rank").limit(per_lang * MOST_LANGUAGES + 1)
     )
-    rows = few.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
+    chosen = written(chosen, "language-chosen")
+    if chosen.select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    return {r["lang"]: r["content"].encode()[:DICTIONARY] for r in rows}
+    # at most per_lang * MOST_LANGUAGES rows of a name and two numbers
+    texts = learn.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "rank").agg(F.min_by(_pieces(F.col("text")), F.xxhash64("text")).alias("piece"))
+    found = texts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "piece"))).alias("pieces"))
+    rows = found.select("lang", F.array_join("pieces.piece", "\n").alias("content")).orderBy("lang").collect()
+    return {r["lang"]: r["content"].encode() for r in rows}
 
 
 def compressors(contents: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
@@ -73,7 +88,8 @@ def identify(docs: DataFrame, contents: dict[str, bytes], keep: list[str] | None
     """``docs`` (columns ``keep`` as the struct ``doc``) with lang_pred, score and rejected.
 
     ``und`` with score 0, rejected, where the text is null or has no letter, or no language was
-    learned."""
+    learned. Equal texts, repeated rows among them, get equal predictions; ties between languages go to
+    the first in code point order. Works on empty tables."""
     names = list(contents)
 
     def factory():

@@ -153,7 +153,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0 to 3 times).
 
     Of m rows with equal source, doc_id and size, each gets copies div m and the first (copies mod m)
-    one more. Null texts have size 0, null sources are a source, and no row is lost to nulls.
+    one more. Null texts have size 0, null sources are a source, and no row is lost to nulls. An empty
+    table gives an empty one.
     """
     taken = copies(items_of(docs), **options).select(
         F.col("source").alias("of"), F.col("doc_id").alias("id"), F.col("size").alias("words"), "m", "copies"

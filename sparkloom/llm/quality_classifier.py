@@ -65,7 +65,8 @@ FIELDS = [
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, limit: int = SAMPLE) -> DataFrame:
     """``docs`` (columns ``keep`` as the struct ``doc``) with the expected grade, the chance of grade
-    1 or more, and whether that selects the text. Null and empty texts score as texts without n-grams."""
+    1 or more, and whether that selects the text. Null and empty texts score as texts without n-grams, equal texts,
+    repeated rows among them, alike. Works on empty tables of documents or labels."""
     weights, cut = train(docs, labels, limit)
 
     def factory():

@@ -25,7 +25,7 @@ def base_counts(text: str | None, table: WordTable) -> tuple[int, int, int, int,
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text; null has no words.
 
     A line repeats when it has a word and equals an earlier line. A word repeats when it stands
-    in a run of three words that the text holds more than once.
+    in a run of three words that the text holds more than once; runs are compared by a 64-bit hash.
     """
     raw = (text or "").encode()
     words = raw.split()
@@ -77,7 +77,8 @@ FIELDS = [
 def apply_rules(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, limit: int = SAMPLE) -> DataFrame:
     """``docs`` (columns ``keep`` as the struct ``doc``) with the counts, p_good and the verdict.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows get equal verdicts.
+    Null and empty texts have no words and fail the base rules. Repeated rows and rows of equal text
+    get equal verdicts. Works on empty tables; without labels of both classes the base rules decide.
     """
     model = train(docs, labels, limit)
 

@@ -2,9 +2,12 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, quality_classifier, quality_rules, toxicity
+from sparkloom.llm.shared import held_out
 from sparkloom.llm.textmap import WordTable
+from sparkloom.llm.training import labelled
 
 
 def base(text):
@@ -93,3 +96,39 @@ def test_language_id(spark, odd, none):
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
     assert language_id.identify(none, contents).count() == 0
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
+
+
+def test_held_out_labels_and_languages_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = held_out(F.col("doc_id"))
+    flipped = labels.select("doc_id", *[F.when(out, 1 - F.col(c)).otherwise(F.col(c)).cast(labels.schema[c].dataType).alias(c) for c in ("quality", "toxic")])
+    assert labels.exceptAll(flipped).count() > 0
+    (weights, cut), (other, there) = (quality_classifier.train(docs, x, 600) for x in (labels, flipped))
+    assert (weights == other).all() and (cut == there).all()
+    a, b = (toxicity.train(docs, x.select("doc_id", "toxic"), 600) for x in (labels, flipped))
+    assert a[0] == b[0] and all((x == y).all() for x, y in zip(a[2], b[2], strict=True))
+    moved = docs.withColumn("lang", F.when(out, "xx").otherwise(F.col("lang")))
+    found = language_id.dictionaries(docs)
+    assert found == language_id.dictionaries(moved) and "xx" not in found
+
+
+def test_a_sample_is_bounded_by_rows_when_rows_repeat(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 0), (9, 1)], "doc_id long, y int")
+    rows = labelled(docs, labels, 2, 4).collect()
+    assert sorted((r.doc_id, r.y) for r in rows) == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_dictionaries_spread_over_whole_texts(spark):
+    long = " ".join(f"w{k}" for k in range(5000))
+    docs = spark.createDataFrame([(1, long, "en"), (2, "short text", "en"), (2, "another", "en"), (None, "nobody", "en")], "doc_id long, text string, lang string")
+    content = language_id.dictionaries(docs)["en"].decode()
+    assert "w0 " in content and "w4999" in content and "nobody" not in content
+    assert ("short text" in content) != ("another" in content)
+
+
+def test_strong_words_count_wherever_they_stand():
+    table = WordTable(toxicity.coder({"bad": 2.0}), np.int64)
+    near, far = ("bad " * 60 + "x " * 2000, "bad " * 60 + "x " * 1900 + "bad " * 100)
+    assert toxicity.dense(far, table)[4] > toxicity.dense(near, table)[4]
