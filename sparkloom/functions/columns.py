@@ -51,17 +51,18 @@ def edit_distance(a: Column, b: Column, limit: int) -> Column:
 
 
 def similarity(asked: Column, found: Column) -> Column:
-    """1 if equal; .28 for a prefix of three letters or more, .16 for a part of four or more; .42 and .24 for
-    an edit distance of 1 and 2 of words of six letters and more (2 only from nine on); else 0."""
+    """1 if equal; .28 if one is a prefix of the other; .16 if the found word holds the asked one, of four
+    letters or more; .42 and .24 for an edit distance of 1 and 2 of words of six letters and more (2 only
+    from nine on); else 0, as for words under three letters. The first that holds counts."""
     n, m = F.length(asked), F.length(found)
     d = edit_distance(asked, found, 2)
-    long = (n >= 6) & (m >= 6)
     return (
         F.when(asked == found, 1.0)
-        .when(long & (d == 1), 0.42)
-        .when((n >= 3) & found.startswith(asked), 0.28)
-        .when(long & (n >= 9) & (m >= 9) & (d == 2), 0.24)
+        .when((n < 3) | (m < 3), 0.0)
+        .when(found.startswith(asked) | asked.startswith(found), 0.28)
         .when((n >= 4) & F.contains(found, asked), 0.16)
+        .when((n >= 6) & (m >= 6) & (d == 1), 0.42)
+        .when((n >= 9) & (m >= 9) & (d == 2), 0.24)
         .otherwise(0.0)
     )
 

@@ -52,7 +52,8 @@ def compare(golden: DataFrame, candidate: DataFrame, mode: str = "bag", toleranc
 
     Bags without tolerance are compared by Spark at any size. The other modes are for results that
     were already limited: over ``MOST_ROWS`` rows they raise. With a tolerance, rows are matched as
-    pairs by augmenting paths, as closeness is not transitive."""
+    pairs by augmenting paths, as closeness is not transitive. In all modes NaN equals NaN, as it does
+    in Spark's own grouping, and a whole number equals the same floating one, which ``digest`` tells apart."""
     if mode == "scalar":
         a, b = golden.take(2), candidate.take(2)
         if not (len(a) == len(b) == 1 and len(golden.columns) == len(candidate.columns) == 1):
@@ -76,6 +77,8 @@ def compare(golden: DataFrame, candidate: DataFrame, mode: str = "bag", toleranc
     a, b = golden.take(MOST_ROWS + 1), candidate.take(MOST_ROWS + 1)
     if max(len(a), len(b)) > MOST_ROWS or len(a) * len(golden.columns) > MOST_CELLS:
         raise ValueError(f"over {MOST_ROWS} rows or {MOST_CELLS} cells")
+    if any(isinstance(x, (str, bytes, bytearray)) and len(x) > MOST_BYTES for row in (*a, *b) for x in row):
+        raise ValueError(f"a cell of over {MOST_BYTES} bytes")
     if len(a) != len(b):
         return "rowCountMismatch"
 
@@ -99,6 +102,8 @@ def compare(golden: DataFrame, candidate: DataFrame, mode: str = "bag", toleranc
 
 
 def _close(x, y, tolerance: float) -> bool:
+    if x is not None and y is not None and x != x and y != y:  # NaN
+        return True
     if isinstance(x, bool) or isinstance(y, bool) or not tolerance:
         return x == y
     try:

@@ -12,13 +12,13 @@ MOST_COLUMNS = 8
 
 #: Parts of names that mark a sensitive column (fixed values).
 SENSITIVE = (
-    "address", "birth", "card", "credential", "email", "hash", "iban", "passport", "passwd", "password",
-    "phone", "salt", "secret", "ssn", "tax", "token",
+    "password", "passwd", "token", "secret", "api_key", "apikey", "key", "auth", "credential", "session",
+    "email", "phone", "address", "raw_user_meta_data", "user_metadata", "app_metadata",
 )
 
 
 def is_sensitive(*names: str) -> bool:
-    """Whether a column's table, name or comment says that its values must not be shown."""
+    """Whether a column's schema, table, name, comment or type says that its values must not be shown."""
     text = " ".join(names).lower()
     return any(part in text for part in SENSITIVE)
 

@@ -69,9 +69,9 @@ def test_tokenizers_differ(spark):
 
 
 def test_similarity_ladder(spark):
-    pairs = [("orders", "orders"), ("ord", "orders"), ("rder", "orders"), ("ordres", "orders"), ("custmer", "customer"), ("custommerr", "customers"), ("x", "y")]
+    pairs = [("orders", "orders"), ("ord", "orders"), ("rder", "orders"), ("ordres", "orders"), ("custmer", "customer"), ("custommerr", "customers"), ("x", "y"), ("custom", "customs"), ("orders", "ord"), ("or", "orders")]
     df = spark.createDataFrame(pairs, "a string, b string").select(C.similarity(F.col("a"), F.col("b")).alias("s"))
-    assert [r.s for r in df.collect()] == [1.0, 0.28, 0.16, 0.0, 0.42, 0.24, 0.0]
+    assert [r.s for r in df.collect()] == [1.0, 0.28, 0.16, 0.0, 0.42, 0.24, 0.0, 0.28, 0.28, 0.0]
 
 
 def test_metrics(spark):
@@ -94,3 +94,74 @@ def test_catalog(spark):
     assert catalog.within(few, catalog.foreign_keys(spark)).count() == 1
     paths = join_paths(catalog.foreign_keys(spark), "supplier", "region").collect()
     assert [(p.hops, p.path) for p in paths][:1] == [(2, "supplier.s_nationkey=nation.n_nationkey > nation.n_regionkey=region.r_regionkey")]
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH t AS (SELECT 1 AS a) INSERT INTO x SELECT * FROM t", "FROM numbers INSERT INTO a SELECT id INSERT INTO b SELECT id",
+        "BEGIN CREATE TABLE x (a INT); END", "REPLACE TABLE x (a INT) USING parquet", "CREATE OR REPLACE TEMP VIEW v AS SELECT 1", "CALL do_it(1)",
+        "MSCK REPAIR TABLE x", "EXECUTE IMMEDIATE 'DROP TABLE x'", "SELECT TRANSFORM(id) USING 'cat' AS (a) FROM numbers", "SET x = 1", "RESET",
+        "TRUNCATE TABLE x", "DELETE FROM x", "UPDATE x SET a = 1", "MERGE INTO x USING y ON x.a = y.a WHEN MATCHED THEN DELETE", "ANALYZE TABLE x COMPUTE STATISTICS",
+        "REFRESH TABLE x", "ADD JAR 'x.jar'", "CACHE TABLE x", "USE other", "SHOW TABLES", "EXPLAIN SELECT 1", "SELECT 1; SELECT 2", "SELECT 1; DROP TABLE x",
+        "SELECT * FROM (SELECT java_method('java.lang.Math', 'abs', -1))", "SELECT 1 WHERE EXISTS (SELECT `reflect`('java.lang.Math', 'random'))",
+        "WITH c AS (SELECT try_reflect('java.lang.Math', 'random') AS a) SELECT a FROM c", "INSERT OVERWRITE DIRECTORY '/tmp/none' USING csv SELECT 1",
+    ],
+)
+def test_what_is_no_read_is_refused(spark, sql):
+    assert bounded.check(spark, sql).errors
+    with pytest.raises(ValueError):
+        bounded.run(spark, sql)
+
+
+def test_reads_and_their_limits(spark):
+    spark.range(1500).createOrReplaceTempView("many")
+    for sql in (
+        "SELECT 'drop table x; --' AS a", "SELECT id AS `delete` FROM many WHERE id IN (SELECT id FROM many)", "VALUES (1), (2)", "SELECT 1;",
+        "SELECT count(*) FILTER (WHERE id > 1) FROM many GROUP BY id % 2 HAVING count(*) > 1", "SELECT id, sum(id) OVER w FROM many WINDOW w AS (ORDER BY id)",
+        "SELECT x FROM many LATERAL VIEW explode(array(id)) t AS x", "SELECT * FROM range(3)", "TABLE many", "SELECT 1 UNION SELECT 2 EXCEPT SELECT 3",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r",
+    ):
+        assert bounded.check(spark, sql).errors == [], sql
+        assert len(bounded.run(spark, sql).rows) <= 100
+    assert bounded.check(spark, "SELECT * FROM many").warnings == ["selects all columns", "no limit"]
+    assert bounded.verify(spark, "SELECT id, 'a' AS b FROM many") == [("id", "bigint"), ("b", "string")]
+    out = bounded.run(spark, "WITH c AS (SELECT id FROM many) SELECT * FROM c ORDER BY id LIMIT 200")
+    assert (len(out.rows), out.truncated) == (200, False)
+    assert bounded.run(spark, "SELECT * FROM (SELECT id FROM many LIMIT 200)").truncated
+    with pytest.raises(ValueError, match="over 1000 rows"):
+        bounded.run(spark, "SELECT id FROM many LIMIT 1000000000")
+    with pytest.raises(TimeoutError) as e:
+        bounded.run(spark, "SELECT sum(a.id * b.id) AS s FROM range(3000000) a JOIN range(3000000) b ON a.id % 7 = b.id % 5", seconds=1)
+    assert bounded.diagnose(e.value) == "timedOut"
+    with pytest.raises(Exception) as e:
+        bounded.run(spark, "SELECT CAST('x' AS INT) AS a")
+    assert bounded.diagnose(e.value) == "invalidText"
+
+
+def test_nan_equals_nan_in_all_modes(spark):
+    a = frame(spark, [(1, float("nan")), (2, None)])
+    for mode in ("bag", "ordered"):
+        assert compare.compare(a, a, mode) == compare.compare(a, a, mode, 0.1) == "equivalent"
+    one = a.where("a = 1").select("b")
+    assert compare.compare(one, one, "scalar") == "equivalent"
+    whole, floating = frame(spark, [(1,)], "a int"), frame(spark, [(1.0,)], "a double")
+    assert compare.compare(whole, floating) == compare.compare(whole, floating, "ordered") == "equivalent"
+    assert compare.digest(whole).first() != compare.digest(floating).first()
+    long = frame(spark, [("x" * 70_000,)], "a string")
+    with pytest.raises(ValueError, match="a cell"):
+        compare.compare(long, long, "ordered")
+
+
+def test_sensitive_names():
+    assert all(map(profile.is_sensitive, ("api_key", "auth", "user_session", "Email", "raw_user_meta_data")))
+    assert not profile.is_sensitive("iban", "birth") and profile.is_sensitive("name", "auth", "text")
+
+
+def test_names_and_bytes(spark):
+    df = spark.createDataFrame([("abc",), ("Abc",), ("a b",), ("_a$1",), ("1a",)], "s string")
+    assert [r.q for r in df.select(C.needs_quotes(F.col("s")).alias("q")).collect()] == [False, True, True, False, True]
+    one = spark.createDataFrame([("a\tb\x00c" + "x" * 3000, bytearray(range(256)) + b"z")], "s string, b binary")
+    row = one.select(C.sanitized(F.col("s")).alias("s"), C.capped_hex(F.col("b")).alias("b")).first()
+    assert row.s.startswith("a b cx") and len(row.s) == 2048
+    assert row.b == "\\x" + bytes(range(256)).hex() + "…"
