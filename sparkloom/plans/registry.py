@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from sparkloom.plans import aggregates, evaluation, joins, profiles, retrieval, selections, windows  # noqa: E402, F401
+from sparkloom.plans import aggregates, dialect, evaluation, joins, profiles, retrieval, selections, windows  # noqa: E402, F401

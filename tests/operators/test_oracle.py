@@ -40,3 +40,8 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 
 def test_all_queries_have_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_a_sample_has_its_share(spark):
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert 0.08 < QUERIES["repeatable_sample"](spark, SF).count() / n < 0.12
