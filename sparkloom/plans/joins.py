@@ -31,7 +31,7 @@ def revenue_per_customer(spark, sf_dir):
 )
 def avg_order_value_by_nation(spark, sf_dir):
     orders, customer, nation = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    joined = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    joined = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return joined.groupBy("n_name").agg(F.round(F.avg("o_totalprice"), 2).alias("avg_value"), F.count(F.lit(1)).alias("n"))
 
 
@@ -49,7 +49,7 @@ def trade_lanes(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     buyers = nation.select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("customer_nation"))
     sellers = nation.select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("supplier_nation"))
-    named = counts.join(F.broadcast(buyers), F.col("ck") == F.col("c_nationkey")).join(F.broadcast(sellers), F.col("sk") == F.col("s_nationkey"))
+    named = counts.join(buyers, F.col("ck") == F.col("c_nationkey")).join(sellers, F.col("sk") == F.col("s_nationkey"))
     return named.select("customer_nation", "supplier_nation", "n")
 
 

@@ -21,7 +21,10 @@ def running_total(spark, sf_dir):
 
 @query("partition_avg", "SELECT p_partkey, round(avg(p_size) OVER (PARTITION BY p_brand), 4) AS brand_size FROM part")
 def partition_avg(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.avg("p_size").over(Window.partitionBy("p_brand")), 4).alias("brand_size"))
+    """The average of a brand, of which there are few, is joined back, so a brand's rows never meet."""
+    part = table(spark, sf_dir, "part")
+    means = part.groupBy("p_brand").agg(F.round(F.avg("p_size"), 4).alias("brand_size"))
+    return part.join(means, "p_brand").select("p_partkey", "brand_size")
 
 
 @query("share_of_total", "SELECT event_type, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type")
@@ -49,10 +52,11 @@ def ranks_of_orders(spark, sf_dir):
 
 @query("groups_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part")
 def groups_frame(spark, sf_dir):
-    """A GROUPS frame: peers numbered by dense_rank, then a RANGE frame over the numbers."""
-    brand = Window.partitionBy("p_brand")
-    part = table(spark, sf_dir, "part").withColumn("g", F.dense_rank().over(brand.orderBy("p_size")))
-    return part.select("p_partkey", F.count(F.lit(1)).over(brand.orderBy("g").rangeBetween(-1, 0)).alias("n"))
+    """A GROUPS frame: peers are counted first, so the frame runs over one row a brand and size."""
+    part = table(spark, sf_dir, "part")
+    peers = part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("m"))
+    frame = Window.partitionBy("p_brand").orderBy("p_size").rowsBetween(-1, Window.currentRow)
+    return part.join(peers.withColumn("n", F.sum("m").over(frame)), ["p_brand", "p_size"]).select("p_partkey", "n")
 
 
 @query("filtered_window", "SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS finished FROM orders")
