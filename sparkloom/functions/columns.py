@@ -86,3 +86,13 @@ def capped_hex(data: Column, most: int = 256) -> Column:
 def nearest_rank(values: Column, p: float) -> Column:
     """The percentile by nearest rank, position round((n - 1) * p) half up, of a sorted array."""
     return F.element_at(values, (F.floor((F.size(values) - 1) * p + 0.5) + 1).cast("int"))
+
+
+def check_values(expression: Column) -> Column:
+    """The string literals of a CHECK expression, each once in their order, doubled quotes as one; none if the
+    expression compares otherwise than by IN, = ANY (ARRAY[...]) or = or holds NOT."""
+    outside = F.lower(F.regexp_replace(expression, r"'(?:''|[^'])*'", "''"))
+    positive = F.lower(expression).rlike(r"\bin\s*\(|=\s*any\s*\(\s*array\s*\[|=\s*'") & ~outside.rlike(r"[<>]|!=|!~|\bnot\b")
+    found = F.regexp_extract_all(expression, F.lit(r"'((?:''|[^'])*)'"), F.lit(1))
+    values = F.array_distinct(F.transform(found, lambda v: F.replace(v, F.lit("''"), F.lit("'"))))
+    return F.when(positive, values).otherwise(F.array().cast("array<string>"))
