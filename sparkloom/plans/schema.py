@@ -176,7 +176,9 @@ ASKED = {
 
 
 def _found(spark, sf_dir, asked, context):
-    return schema_search.candidates(schema_search.terms(spark, sf_dir), catalog.foreign_keys(spark), asked, context)
+    # a few hundred rows that the scores read many times
+    index = schema_search.terms(spark, sf_dir).coalesce(1).persist()
+    return schema_search.candidates(index, catalog.foreign_keys(spark), asked, context)
 
 
 for _name, (_asked, _context) in ASKED.items():
