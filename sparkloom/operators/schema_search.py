@@ -175,3 +175,20 @@ def response(found: DataFrame, asked: str, limit: int = 8) -> DataFrame:
     first = F.coalesce(F.get("totals", F.lit(0)), F.lit(0.0))
     weak = (F.size("totals") == 0) | (~F.col("exact_match") & ((first < 1.2) | (coverage < 0.25)))
     return row.select(F.round(coverage, 4).alias("coverage"), F.round(first - F.get("totals", F.lit(1)), 4).alias("margin"), "exact_match", weak.alias("no_strong_match"))
+
+
+def saved_terms(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The index as Parquet below ``folder``, under the fingerprint of the catalog that it was built from: another
+    catalog is another index, and one without its _SUCCESS file was never finished and is built again."""
+    version = catalog.fingerprint(catalog.columns(spark, sf_dir)).first()["fingerprint"]
+    path = f"{folder.rstrip('/')}/terms-{version}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        terms(spark, sf_dir).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def relation_names(text: Column) -> Column:
+    """Identifiers of a text that look like relations: two names joined by a dot, or one with an underscore; each
+    once, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)+)\b"), F.lit(1)))

@@ -213,3 +213,36 @@ def packed_catalog(spark, sf_dir):
     """Tables by name while their columns fit into 200 characters; one that doesn't is passed over."""
     sizes = catalog.columns(spark, sf_dir).groupBy("table_name").agg(F.sum(F.length("column_name") + 1).alias("size"))
     return retrieval.packed(sizes, "table_name", "size", ["table_name"], 200).select("table_name")
+
+
+_IDS = ["orders", "orders.o_orderdate", "conversations_pkey", "lineitem_l_partkey_fkey", "orders_status_check", "nothing"]
+
+
+@query(
+    "described_objects",
+    f"""WITH {_COLS}, {_KEYS}, {_FKS}, {_CHECKS}, obj(kind, id, d) AS (SELECT 'table', t, string_agg(c, ', ' ORDER BY p) FROM cols GROUP BY t UNION ALL SELECT 'column', t || '.' || c, ty FROM cols
+      UNION ALL SELECT 'key', n, kind || ' key of ' || t || ': ' || string_agg(c, ', ' ORDER BY p) FROM key GROUP BY t, n, kind
+      UNION ALL SELECT 'foreign_key', a || '_' || x || '_fkey', a || '.' || x || ' = ' || b || '.' || y FROM fk UNION ALL SELECT 'check', n, e FROM chk)
+      SELECT i AS object_id, kind, d AS description FROM (SELECT unnest({_IDS}) AS i) LEFT JOIN obj ON id = i""",
+)
+def described_objects(spark, sf_dir):
+    all_ = catalog.objects(catalog.columns(spark, sf_dir), catalog.keys(spark), catalog.foreign_keys(spark), catalog.checks(spark))
+    return catalog.describe(all_, _IDS)
+
+
+@query("named_relations", "SELECT event_id, 'main.orders ' || event_type || '_log' AS names FROM events")
+def named_relations(spark, sf_dir):
+    text = F.concat(F.lit("join main.orders by "), "event_type", F.lit("_log, then main.orders"))
+    names = schema_search.relation_names(text)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(names, " ").alias("names"))
+
+
+@query(
+    "join_path_pairs",
+    """SELECT hops, pair, CAST(position AS INT) AS position FROM (VALUES (2, 1, 'customer.c_nationkey=nation.n_nationkey'), (2, 2, 'nation.n_nationkey=supplier.s_nationkey'),
+       (3, 1, 'customer.c_custkey=orders.o_custkey'), (3, 2, 'orders.o_orderkey=lineitem.l_orderkey'), (3, 3, 'lineitem.l_suppkey=supplier.s_suppkey')) AS v(hops, position, pair)""",
+)
+def join_path_pairs(spark, sf_dir):
+    """The pairs of columns of at most three paths between two tables, with the number of hops."""
+    paths = retrieval.join_paths(catalog.foreign_keys(spark), "customer", "supplier", most_paths=3)
+    return paths.select("hops", F.posexplode(F.split("path", " > ")).alias("k", "pair")).select("hops", "pair", (F.col("k") + 1).alias("position"))

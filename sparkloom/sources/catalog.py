@@ -146,3 +146,27 @@ def fingerprint(cols: DataFrame) -> DataFrame:
     """One row with the SHA-256 of the schema's sorted lines: changes when any column does."""
     line = F.concat_ws(":", "table_name", F.format_string("%05d", "position"), "column_name", "type", F.col("nullable").cast("string"))
     return cols.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+
+
+def objects(cols: DataFrame, key_columns: DataFrame, fks: DataFrame, check_rows: DataFrame) -> DataFrame:
+    """(kind, object_id, description) of all tables, columns, keys, foreign keys and CHECK constraints."""
+    column_id = F.concat_ws(".", "table_name", "column_name")
+    fk_id = F.concat_ws("_", "from_table", "from_column", F.lit("fkey"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda x: x["column_name"])
+    parts = [
+        cols.groupBy(F.col("table_name").alias("object_id")).agg(F.array_join(names, ", ").alias("description")).withColumn("kind", F.lit("table")),
+        cols.select(column_id.alias("object_id"), F.col("type").alias("description"), F.lit("column").alias("kind")),
+        grouped_keys(key_columns).select(F.col("constraint_name").alias("object_id"), F.concat("kind", F.lit(" key of "), "table_name", F.lit(": "), F.array_join("columns", ", ")).alias("description"), F.lit("key").alias("kind")),
+        fks.select(fk_id.alias("object_id"), F.concat("from_table", F.lit("."), "from_column", F.lit(" = "), "to_table", F.lit("."), "to_column").alias("description"), F.lit("foreign_key").alias("kind")),
+        check_rows.select(F.col("constraint_name").alias("object_id"), F.col("expression").alias("description"), F.lit("check").alias("kind")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def describe(all_objects: DataFrame, ids: list[str]) -> DataFrame:
+    """The objects of ``ids``, each once; an id that names nothing has a null kind."""
+    asked = all_objects.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(ids)], "object_id string").coalesce(1)
+    return asked.join(all_objects, "object_id", "left")

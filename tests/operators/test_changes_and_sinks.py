@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import check_values
-from sparkloom.operators import inspection, metrics, sinks, writes
+from sparkloom.operators import inspection, metrics, schema_search, sinks, writes
 from sparkloom.operators.membership import unlisted_literals
 
 
@@ -150,3 +150,16 @@ def test_summaries_over_nothing(spark):
     assert list(metrics.withheld_summary(none).first()) == [None] * 4
     arms = spark.createDataFrame([(1, "on", True), (1, "off", False), (2, "on", True)], "k int, arm string, ok boolean")
     assert metrics.paired_arms(arms, "k", "arm", "ok", "on", "off").first().asDict() == {"pairs": 1, "both": 0, "only_on": 1, "only_off": 0, "neither": 0}
+
+
+def test_saved_index_is_built_once_and_again_if_unfinished(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    first = schema_search.saved_terms(spark, sf, str(tmp_path))
+    n = first.count()
+    (folder,) = tmp_path.iterdir()
+    stamp = (folder / "_SUCCESS").stat().st_mtime_ns
+    assert schema_search.saved_terms(spark, sf, str(tmp_path)).count() == n > 100
+    assert (folder / "_SUCCESS").stat().st_mtime_ns == stamp
+    (folder / "_SUCCESS").unlink()
+    assert schema_search.saved_terms(spark, sf, str(tmp_path)).count() == n
+    assert (folder / "_SUCCESS").exists()
