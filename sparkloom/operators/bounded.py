@@ -87,6 +87,8 @@ def check(spark: SparkSession, sql: str) -> Verdict:
         else:
             called = [x.nameParts().mkString(".") for x in _expressions(node) if x.getClass().getSimpleName() == "UnresolvedFunction"]
         out.errors += [f"{x} is not allowed" for x in called if x.lower().split(".")[-1] in FORBIDDEN]
+        if any(x.getClass().getSimpleName() in ("NamedParameter", "PosParameter") for x in _expressions(node)):
+            out.errors.append("holds a bind placeholder")
         if name == "Project" and any(x.getClass().getSimpleName() == "UnresolvedStar" for x in _seq(node.expressions())):
             out.warnings.append("selects all columns")
     if out.kind == "read":

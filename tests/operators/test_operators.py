@@ -165,3 +165,10 @@ def test_names_and_bytes(spark):
     row = one.select(C.sanitized(F.col("s")).alias("s"), C.capped_hex(F.col("b")).alias("b")).first()
     assert row.s.startswith("a b cx") and len(row.s) == 2048
     assert row.b == "\\x" + bytes(range(256)).hex() + "…"
+
+
+def test_bind_placeholders_are_refused(spark):
+    for sql in ("SELECT * FROM t WHERE a = ? LIMIT 1", "SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d > :least) LIMIT 1"):
+        assert "holds a bind placeholder" in bounded.check(spark, sql).errors
+    assert bounded.check(spark, "SELECT $1 FROM t LIMIT 1").errors
+    assert not bounded.check(spark, "SELECT ':a ?' AS x FROM t LIMIT 1").errors
