@@ -96,3 +96,21 @@ def check_values(expression: Column) -> Column:
     found = F.regexp_extract_all(expression, F.lit(r"'((?:''|[^'])*)'"), F.lit(1))
     values = F.array_distinct(F.transform(found, lambda v: F.replace(v, F.lit("''"), F.lit("'"))))
     return F.when(positive, values).otherwise(F.array().cast("array<string>"))
+
+
+_NAME = r'(?:[A-Za-z_][A-Za-z0-9_$]*|"(?:""|[^"])+")'
+_TARGET = rf"(?:{_NAME}\.)?{_NAME}"
+_ALIAS = rf"(?:\s+(?:as\s+)?{_NAME})?"
+_END = r"\s*(?:--[^\n\r]*|/\*(?s:.*?)\*/)?\s*;?\s*$"
+#: What the text of a statement begins with.
+DIRECT_SQL = (
+    r"(?i)^\s*(?:(?:select|with)\b"
+    rf"|insert\s+into\s+{_TARGET}\s*(?:\([^)]*\)\s*)?(?:default\s+values|values\s*\(|(?:select|with)\b)"
+    rf"|delete\s+from\s+(?:only\s+)?{_TARGET}{_ALIAS}(?:{_END}|\s+(?:where|using|returning)\b)"
+    rf"|update\s+(?:only\s+)?{_TARGET}{_ALIAS}\s+set\s+[^=]+=)"
+)
+
+
+def direct_sql(text: Column) -> Column:
+    """Whether a text reads as a statement rather than as a question. One that opens with a comment doesn't."""
+    return text.rlike(DIRECT_SQL)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.operators import bounded
+
 
 def bag_difference(golden: DataFrame, candidate: DataFrame) -> DataFrame:
     """The rows that one side has more often, with ``side`` and ``extra``; no rows: equal bags. One
@@ -101,6 +103,25 @@ def compare(golden: DataFrame, candidate: DataFrame, mode: str = "bag", toleranc
     return "equivalent" if all(place(k, set()) for k in range(len(a))) else "rowBagMismatch"
 
 
+def snapshot(spark: SparkSession, paths: dict[str, str]) -> SparkSession:
+    """A session of its own whose views, by name, are Parquet tables with the files that they have now. Files that are
+    added later are in none of its queries; one that is removed makes them fail rather than mix two states."""
+    session = spark.newSession()
+    for name, path in paths.items():
+        session.read.parquet(path).createOrReplaceTempView(name)
+    return session
+
+
+def compare_statements(spark: SparkSession, paths: dict[str, str], golden: str, candidate: str, mode: str = "bag", tolerance: float = 0.0) -> str:
+    """``compare`` of two reads over one snapshot of the tables; anything but a read raises."""
+    session = snapshot(spark, paths)
+    for sql in (golden, candidate):
+        verdict = bounded.check(session, sql)
+        if verdict.errors:
+            raise ValueError("; ".join(verdict.errors))
+    return compare(session.sql(golden), session.sql(candidate), mode, tolerance)
+
+
 def _close(x, y, tolerance: float) -> bool:
     if x is not None and y is not None and x != x and y != y:  # NaN
         return True

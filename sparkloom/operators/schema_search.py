@@ -189,6 +189,8 @@ def saved_terms(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 
 
 def relation_names(text: Column) -> Column:
-    """Identifiers of a text that look like relations: two names joined by a dot, or one with an underscore; each
-    once, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)+)\b"), F.lit(1)))
+    """The relations that a statement's text names after FROM, JOIN, UPDATE, INTO or DELETE FROM: lower case, without
+    quotes and spaces, each once, in order."""
+    name = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)'
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:delete\s+from|from|join|update|into)\s+({name}(?:\s*\.\s*{name})?)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, '[" ]', ""))))

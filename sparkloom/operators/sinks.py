@@ -66,3 +66,26 @@ def markdown(df: DataFrame, most: int = 200) -> str:
 def fixture(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON array or of JSON lines; keys that are missing are null, others are passed over."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, bool]]:
+    """The versions below ``folder`` and whether they were finished."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    return sorted((int(n[8:]), files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))) for n in names if n.startswith("version-"))
+
+
+def save_state(df: DataFrame, folder: str) -> None:
+    """Replaces a stored table of settings or metadata by its next version, as JSON lines: readers see the version before
+    until the new one is finished, and of two writers at a time one fails."""
+    found = _versions(df.sparkSession, folder)
+    write_json_lines(df, f"{folder}/version-{found[-1][0] + 1 if found else 1:06d}")
+
+
+def state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The last finished version; keys that it lacks are null, none at all is an empty table."""
+    done = [n for n, finished in _versions(spark, folder) if finished]
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{folder}/version-{done[-1]:06d}")

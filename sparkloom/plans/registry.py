@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from sparkloom.plans import aggregates, changes, dialect, evaluation, joins, profiles, retrieval, schema, selections, windows  # noqa: E402, F401
+from sparkloom.plans import aggregates, changes, dialect, evaluation, joins, profiles, retrieval, schema, schema_rank, selections, windows  # noqa: E402, F401

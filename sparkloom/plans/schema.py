@@ -230,9 +230,9 @@ def described_objects(spark, sf_dir):
     return catalog.describe(all_, _IDS)
 
 
-@query("named_relations", "SELECT event_id, 'main.orders ' || event_type || '_log' AS names FROM events")
+@query("named_relations", "SELECT event_id, 'main.orders ' || lower(event_type) || '_log nation' AS names FROM events")
 def named_relations(spark, sf_dir):
-    text = F.concat(F.lit("join main.orders by "), "event_type", F.lit("_log, then main.orders"))
+    text = F.concat(F.lit('select order_id from "main" . "Orders" join '), "event_type", F.lit("_log using (id); update Nation set x = 1; DELETE FROM main.orders"))
     names = schema_search.relation_names(text)
     return table(spark, sf_dir, "events").select("event_id", F.array_join(names, " ").alias("names"))
 

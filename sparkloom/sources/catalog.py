@@ -148,6 +148,22 @@ def fingerprint(cols: DataFrame) -> DataFrame:
     return cols.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
 
 
+def retrieval_fingerprint(cols: DataFrame, key_columns: DataFrame, fks: DataFrame, check_rows: DataFrame, table_comments: DataFrame) -> DataFrame:
+    """One row with the SHA-256 of all that a search for tables reads: columns, comments, keys, foreign keys and CHECK
+    constraints, as sorted lines. No sizes and no times are in it, so a table that only grows keeps its index."""
+    lines = [
+        cols.select(F.concat_ws(":", F.lit("column"), "table_name", F.format_string("%05d", "position"), "column_name", "type", F.col("nullable").cast("string")).alias("line")),
+        table_comments.select(F.concat_ws(":", F.lit("comment"), "table_name", "comment")),
+        grouped_keys(key_columns).select(F.concat_ws(":", F.lit("key"), "table_name", "constraint_name", "kind", F.array_join("columns", ","))),
+        fks.select(F.concat_ws(":", F.lit("foreign"), "from_table", "from_column", "to_table", "to_column")),
+        check_rows.select(F.concat_ws(":", F.lit("check"), "table_name", "column_name", "constraint_name", "expression", F.array_join("allowed", ","))),
+    ]
+    out = lines[0]
+    for part in lines[1:]:
+        out = out.union(part)
+    return out.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("fingerprint"))
+
+
 def objects(cols: DataFrame, key_columns: DataFrame, fks: DataFrame, check_rows: DataFrame) -> DataFrame:
     """(kind, object_id, description) of all tables, columns, keys, foreign keys and CHECK constraints."""
     column_id = F.concat_ws(".", "table_name", "column_name")
