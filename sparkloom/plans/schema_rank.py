@@ -12,7 +12,7 @@ from sparkloom.plans.schema import _CHECKS, _COLS, _FKS, _KEYS, _ORDERED, _colum
 from sparkloom.sources import catalog
 from sparkloom.sources.tables import table
 
-PLAIN = Request("How many orders did each customer place last month", context="status of the shipments", bindings=("market segment",))
+PLAIN = Request("How many orders did each customer place last month", context="status of the shipments", bindings=("parts of a supplier",))
 FAILED = Request(
     "discount of each part by nation", sql='SELECT * FROM main.orders o JOIN "parts" p ON true', forbidden=("parts",),
     diagnostic='42P01 relation "parts" does not exist', named="parts", missing_relation=True,
@@ -76,9 +76,10 @@ def pinned_after_failure(spark, sf_dir):
 _TIMES = "[" + ", ".join(f"'{w}'" for w in schema_rank.TEMPORAL_WORDS) + "]"
 
 
-@query("temporal_questions", f"SELECT conv_id, turn, list_has_any({_tokens('text')}, {_TIMES}) AS temporal FROM conversations")
+@query("temporal_questions", f"SELECT conv_id, turn, list_has_any({_tokens("CASE WHEN turn % 3 = 1 THEN text || ' sinceYesterday' ELSE text END")}, {_TIMES}) AS temporal FROM conversations")
 def temporal_questions(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", schema_rank.temporal_intent(F.col("text")).alias("temporal"))
+    x = F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" sinceYesterday"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", schema_rank.temporal_intent(x).alias("temporal"))
 
 
 @query("temporal_columns", f"WITH {_COLS} SELECT t AS table_name, c AS column_name FROM cols WHERE regexp_matches(ty, 'date|time') OR regexp_matches(lower(c), '_at$|date|time|scheduled')")
