@@ -13,14 +13,16 @@ documents are cut. Ties on the curve, copies for one, are ordered by doc_id and
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,67 +35,102 @@ CAPACITY = 4096
 END_ID = 2
 DIMS, BITS = 4, 15
 BUCKETS = 1024
-#: Words whose ids a worker remembers at a time.
-WORDS_KEPT = 400_000
+#: Words after which a worker forgets those that it hasn't met since as many words before.
+WORDS_KEPT = 150_000
+#: Words that the tokenizer gets at a time, and characters of the texts whose unknown words it gets together.
+AT_ONCE, BLOCK = 2000, 1 << 18
 
-#: What the tokenizer's own splitting rule cuts a text into (fixed values of its file).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of other characters go to the tokenizer whole.
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e¡-ɏ]")
 
 
+def _pieces() -> re.Pattern:
+    """What the tokenizer's own splitting rule (fixed in its file) cuts normalised texts of usual characters into."""
+    usual = [chr(k) for k in range(0x250) if not UNUSUAL.match(chr(k))]
+    found = {c: unicodedata.category(c)[0] for x in usual for c in unicodedata.normalize("NFC", x).lower()}
+    letters, digits = (re.escape("".join(sorted(c for c, kind in found.items() if kind == k))) for k in "LN")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\t-\r {letters}{digits}]+")
+
+
+PIECES = _pieces()
+
+
 class Encoder:
     """Ids of texts by a tokenizer whose words don't depend on each other: what stands between two
     spaces is encoded once and remembered. ``tests/llm`` holds it against the tokenizer itself."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             ends[k] = token.endswith("</w>")
         self.ends = ends
-        self.words: dict[str, bytes] = {}  # pieces of the splitting rule
-        self.known: dict[str, bytes] = {}  # what stands between two spaces
+        self.known: dict[str, bytes] = {}  # what stands between two spaces, and its pieces by the splitting rule
+        self.older: dict[str, bytes] = {}  # what was known before; what is met again moves back
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
-        """Encodes unknown words together; a word's ids end where a token ends a word."""
+        """Encodes unknown pieces together; a piece's ids end where a token ends a word."""
         ids = self.plain(" ".join(words))
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
-            self.words.update((w, self.plain(w).tobytes()) for w in words)
+            self.known.update((w, self.plain(w).tobytes()) for w in words)
             return
         raw, begin = ids.tobytes(), 0
         for word, stop in zip(words, (4 * stops).tolist(), strict=True):
-            self.words[word] = raw[begin:stop]
+            self.known[word] = raw[begin:stop]
             begin = stop
 
+    def _unknown(self, words: set[str]) -> set[str]:
+        fresh = words.difference(self.known)
+        again = {w: self.older[w] for w in fresh if w in self.older}
+        self.known.update(again)
+        return fresh.difference(again)
+
     def prepare(self, chunks: set[str]) -> None:
         """Sees to it that all ``chunks`` are known."""
-        fresh = chunks.difference(self.known)
-        if not fresh:
-            return
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-            fresh = chunks
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        pieces = {c: PIECES.findall(c) for c in fresh}
-        unknown = list({w for p in pieces.values() for w in p}.difference(self.words))
-        for k in range(0, len(unknown), 2000):
-            self.learn(unknown[k : k + 2000])
-        for chunk, own in pieces.items():
-            self.known[chunk] = b"".join(map(self.words.__getitem__, own))
+            self.known, self.older = {}, self.known
+        fresh = self._unknown(chunks)
+        several = {c: PIECES.findall(c) for c in fresh if not c.isalpha()}  # letters alone are one piece
+        unknown = fresh.difference(several)
+        unknown = [*unknown, *self._unknown({w for p in several.values() for w in p}.difference(unknown))]
+        tokenize = self.tokenizer.model.tokenize
+        for w in unknown:
+            if w.isascii():  # stands for itself in the model's alphabet of bytes
+                self.known[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+        unknown = [w for w in unknown if not w.isascii()]
+        for k in range(0, len(unknown), AT_ONCE):
+            self.learn(unknown[k : k + AT_ONCE])
+        for chunk, own in several.items():
+            self.known[chunk] = b"".join(map(self.known.__getitem__, own))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if "<|" in text or UNUSUAL.search(text):
-            return self.plain(text).tobytes()
-        chunks = unicodedata.normalize("NFC", text).lower().split()
-        self.prepare(set(chunks))
-        return b"".join(map(self.known.__getitem__, chunks))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; texts are taken together up to ``BLOCK`` characters."""
+        out, held, size = [], [], 0
+        for text in texts:
+            if held and size + len(text) > BLOCK:
+                out += self._block(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        return out + self._block(held)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        cut = [None if "<|" in t or UNUSUAL.search(t) else unicodedata.normalize("NFC", t).lower().split() for t in texts]
+        self.prepare(set().union(*(c for c in cut if c)))
+        known = self.known
+        return [
+            self.plain(t).tobytes() if c is None else b"".join(itemgetter(*c)(known)) if len(c) > 1 else b"".join(known[x] for x in c)
+            for t, c in zip(texts, cut, strict=True)
+        ]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -156,10 +193,10 @@ def keyed(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())]
 
     def factory():
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
 
         def compute(texts):
-            ids = [encode(t or "") + end for t in texts]
+            ids = [x + end for x in encode([t or "" for t in texts])]
             at = [coordinates(np.frombuffer(x, "<u4"), matrix) for x in ids]
             at = np.array(at).reshape(-1, DIMS)
             cells = np.clip((at / 8 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1)

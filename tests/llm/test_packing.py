@@ -46,3 +46,18 @@ def test_pieces_tile_documents_and_sequences(odd):
 
 def test_packing_of_nothing(none):
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_encoder_forgets_words_and_asks_for_each_once(monkeypatch):
+    """Words go when others have come, those in use stay, and the ids are the tokenizer's all the same."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", 60)
+    monkeypatch.setattr(packing, "BLOCK", 300)
+    texts = [f"the wörd{k}, of tail{chr(97 + k % 26)}{chr(97 + k // 26)} and don't über" for k in range(300)]
+    own, known, asked = packing.Encoder(PATH), Tokenizer.from_file(PATH), []
+    plain = own.plain
+    monkeypatch.setattr(own, "plain", lambda text: asked.append(text) or plain(text))
+    for at in range(0, 300, 100):
+        for text, ids in zip(texts[at : at + 100], own.encode_all(texts[at : at + 100]), strict=True):
+            assert ids == np.array(known.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(own.known) + len(own.older) < 300
+    assert " ".join(asked).split().count("über") == 1 and len(asked) < 100
