@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from sparkloom.llm.textmap import SCALE, SLOTS, WordTable, hashed_ngrams, map_text
 
 SAMPLE = 3000
+#: Entries of the sample that a step computes with at a time.
+PART = 1 << 18
 
 
 def labelled(docs: DataFrame, labels: DataFrame, classes: int, limit: int = SAMPLE) -> DataFrame:
@@ -64,13 +66,27 @@ class Sample:
         self.weight = np.array([r["weight"] for r in got], float)
         self.slots = np.concatenate([np.empty(0, "<i4"), *(np.frombuffer(r["slots"], "<i4") for r in got)])
         self.values = np.concatenate([np.empty(0, "<f4"), *(np.frombuffer(r["values"], "<f4") for r in got)])
-        self.row = np.repeat(np.arange(len(got)), [len(r["slots"]) // 4 for r in got])
+        self.row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["slots"]) // 4 for r in got])
+
+    def _parts(self):
+        """The entries in parts: numbers of 64 bits for all of them at once would multiply the driver's memory."""
+        for at in range(0, len(self.row), PART):
+            part = slice(at, at + PART)
+            yield self.row[part], self.slots[part], self.values[part]
 
     def margins(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.slots] * self.values, len(self.y))
+        out = np.zeros(len(self.y))
+        for row, slots, values in self._parts():
+            first = row[0]
+            sums = np.bincount(row - first, w[slots] * values)
+            out[first : first + len(sums)] += sums
+        return out
 
     def gradient(self, per_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slots, per_row[self.row] * self.values, 2 * SLOTS)
+        out = np.zeros(2 * SLOTS)
+        for row, slots, values in self._parts():
+            out += np.bincount(slots, per_row[row] * values, 2 * SLOTS)
+        return out
 
 
 def adam(parameters: np.ndarray, gradient, steps: int = 120, rate: float = 0.05) -> np.ndarray:
